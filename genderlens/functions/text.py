@@ -38,9 +38,13 @@ def word_runs(c) -> Column:
     return F.regexp_extract_all(col_(c), F.lit(WORD_RUN), 0)
 
 
+# Unicode whitespace as ``str.split()`` sees it.
+SPACE = r"[\s\p{Z}\x0B\x1c-\x1f\x85]"
+
+
 def ws_words(c) -> Column:
     """Whitespace words, as ``str.split()``; an empty/blank text gives []."""
-    t = F.trim(F.regexp_replace(col_(c), r"\s+", " "))
+    t = F.trim(F.regexp_replace(col_(c), SPACE + "+", " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 

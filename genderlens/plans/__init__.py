@@ -1,6 +1,6 @@
 """Query registry: importing the modules registers every query."""
 
-from . import clean_queries, metric_queries, term_queries  # noqa: F401
+from . import clean_queries, metric_queries, split_queries, term_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

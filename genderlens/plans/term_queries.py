@@ -173,29 +173,37 @@ def q_mask_neutral(spark, sf):
                                           .alias("text_all_neutral"))
 
 
-def _masked_sql() -> str:
+def masked_cte() -> str:
+    """CTEs ``reviews, base, c, masked`` (masked = T14 columns per review)."""
     terms = sorted(UNIVERSE)
     ns = ", ".join(f"CASE WHEN contains(t, '{_q(x)}') THEN len(regexp_extract_all(t, "
                    f"'{_q(quote_regex(x))}{W_SQL}*')) ELSE 0 END" for x in terms)
     entries = ", ".join(f"CASE WHEN ns[{i + 1}] > 0 THEN '{_q(x)}=' || ns[{i + 1}] END"
                         for i, x in enumerate(terms))
     prons = " + ".join(f"ns[{terms.index(p) + 1}]" for p in lx.PRONOUNS)
-    return fx.with_views(f"""
-, base AS (
-  SELECT doc_id, {clean_text_sql('Review')} AS t FROM reviews
+    return fx.REVIEWS_SQL + f""",
+base AS (
+  SELECT doc_id, {clean_text_sql('Review')} AS t, {SENT_SQL.format(r='Rating')} AS Sentiment FROM reviews
   WHERE {SENT_SQL.format(r='Rating')} IS DISTINCT FROM 'neu'),
-c AS (SELECT doc_id, t, [{ns}] AS ns FROM base)
-SELECT doc_id AS ID, concat_ws(',', {entries}) AS count_table,
-       list_sum(ns)::INTEGER AS count_total, ({prons})::INTEGER AS count_prons,
-       {fold_sql('t', F2M)} AS text_all_male,
-       {fold_sql('t', M2F)} AS text_all_female,
-       {neutral_sql('t', UNIVERSE)} AS text_all_neutral
-FROM c""", "reviews").replace(")\n\n, base AS", "),\nbase AS")
+c AS (SELECT doc_id, t, Sentiment, [{ns}] AS ns FROM base),
+masked AS (
+  SELECT doc_id AS ID, t AS Review_cleaned, Sentiment, concat_ws(',', {entries}) AS count_table,
+         list_sum(ns)::INTEGER AS count_total, ({prons})::INTEGER AS count_prons,
+         {fold_sql('t', F2M)} AS text_all_male,
+         {fold_sql('t', M2F)} AS text_all_female,
+         {neutral_sql('t', UNIVERSE)} AS text_all_neutral
+  FROM c)"""
+
+
+def _masked_sql() -> str:
+    return ("WITH " + masked_cte() + "\nSELECT ID, count_table, count_total, count_prons, text_all_male, "
+            "text_all_female, text_all_neutral FROM masked")
 
 
 def masked_reviews(spark, sf):
     r = fx.reviews(spark, sf).select("doc_id", "Review", sentiment("Rating").alias("Sentiment"))
-    base = drop_neutral(r).select(F.col("doc_id").alias("ID"), clean_text("Review").alias("Review_cleaned"))
+    base = drop_neutral(r).select(F.col("doc_id").alias("ID"), clean_text("Review").alias("Review_cleaned"),
+                                  "Sentiment")
     return masked_table(base, "Review_cleaned", F2M, M2F, UNIVERSE, lx.PRONOUNS)
 
 
