@@ -1,6 +1,7 @@
 """Query registry: importing the modules registers every query."""
 
-from . import analytics_queries, clean_queries, io_queries, metric_queries, split_queries, term_queries  # noqa: F401
+from . import (analytics_queries, clean_queries, io_queries, metric_queries, ml_queries,  # noqa: F401
+               split_queries, term_queries)
 from .registry import ORACLES, QUERIES
 
 
