@@ -2,18 +2,23 @@
 
 Two execution paths, same results:
 
-* text path - the lexicon is a literal array and every document is
-  rewritten by a higher-order ``aggregate`` fold (no shuffle, constant plan
-  size). Used for the fixed lexicon.
+* word path (fixed lexicon, no shuffle) - one regex scan per text pulls out
+  the words that contain any lexicon term (a prefix-trie alternation), so
+  per-term work touches only those few words. A word is rewritten by the
+  ordered fold over all terms (cascades included) and the text is rebuilt
+  from its word / non-word runs. Terms and replacements made of word
+  characters never cross a word boundary, so rewriting words is the same
+  as rewriting the whole text (the SQL oracle checks this against chained
+  whole-text ``regexp_replace``).
 * vocabulary path - the lexicon is a DataFrame of any size (e.g. with name
   lists). Work is done once per distinct word: distinct vocabulary ->
-  substring equi-join with the terms -> per-word fold -> joined back to the
-  tokens. Terms and replacements made only of word characters never cross a
-  word boundary, so rewriting words is the same as rewriting the text.
+  substring equi-join with the terms -> per-word fold -> joined back.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +26,14 @@ from pyspark.sql import functions as F
 from ..functions.text import RUNS, W, col_, quote_regex, word_runs
 from ..session import broadcast_if_small
 
+_WORD_ONLY = re.compile(r"^\w+$")
+
+
+def is_word_term(t: str) -> bool:
+    return bool(_WORD_ONLY.match(t))
+
 
-# ------------------------------------------------------------------ text path
+# --------------------------------------------------------------- shared rules
 def _lex_array(pairs) -> Column:
     return F.array(*[
         F.struct(F.lit(t).alias("term"),
@@ -31,17 +42,22 @@ def _lex_array(pairs) -> Column:
         for t, r in pairs])
 
 
-def mask_text(text, pairs) -> Column:
+def fold(c: Column, pairs) -> Column:
     """Ordered fold: each term, in order, replaces its first hit in every
     word (the rest of the word is kept); later terms see earlier output."""
     if not pairs:
-        return col_(text)
+        return c
     return F.aggregate(
-        _lex_array(pairs), col_(text),
+        _lex_array(pairs), c,
         lambda acc, x: F.when(F.instr(acc, x["term"]) > 0,
                               F.regexp_replace(acc, x["pattern"], x["replacement"])).otherwise(acc))
 
 
+def mask_text(text, pairs) -> Column:
+    """Whole-text fold (reference form; the word path below is faster)."""
+    return fold(col_(text), pairs)
+
+
 def neutral_pattern(terms) -> str:
     """One leftmost alternation, longest term first: a hit deletes the term
     and the rest of its word."""
@@ -53,31 +69,110 @@ def mask_neutral_text(text, terms) -> Column:
     return F.regexp_replace(col_(text), neutral_pattern(terms), "")
 
 
-def count_terms_text(text, terms) -> Column:
-    """array<struct<term, n>> with n = number of ``term\\w*`` matches (zeros
-    included), in term order."""
-    arr = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(quote_regex(t) + W + "*").alias("pattern"))
-                    for t in terms])
-    return F.transform(arr, lambda x: F.struct(
-        x["term"].alias("term"),
-        F.when(F.instr(col_(text), x["term"]) > 0, F.regexp_count(col_(text), x["pattern"]))
-         .otherwise(F.lit(0)).cast("int").alias("n")))
+def trie_regex(terms) -> str:
+    """Alternation of ``terms`` factored by common prefixes, so testing a
+    position costs a few character comparisons instead of one per term."""
+    root: dict = {}
+    for t in set(terms):
+        node = root
+        for ch in t:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node) -> str:
+        alts = [quote_regex(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        if "" in node:
+            return f"(?:{body})?" if len(alts) == 1 and len(alts[0]) > 1 else (
+                body + "?" if len(alts[0]) == 1 and len(alts) == 1 else f"(?:{body})?")
+        return body
+
+    return "(?:" + emit(root) + ")"
+
+
+def hit_word_regex(terms) -> str:
+    """Whole words that contain at least one of ``terms``."""
+    return f"(?<!{W}){W}*?{trie_regex(terms)}{W}*"
+
+
+def hit_words(text, terms) -> Column:
+    """Every occurrence (in order) of a word containing a term."""
+    return F.regexp_extract_all(col_(text), F.lit(hit_word_regex(terms)), 0)
+
+
+def _folder(pairs):
+    return lambda c: fold(c, pairs)
+
+
+def add_masks(df: DataFrame, text: str, outputs: dict, universe) -> DataFrame:
+    """Word-path rewrites. ``outputs``: column name -> list of (term, repl)
+    pairs for an ordered fold, or the string 'neutral'.
+
+    The text is split at the words that contain a term; only those words
+    are rewritten and the segments between them are copied unchanged.
+    Terms with non-word characters (none survive text cleaning) are applied
+    to the whole text after the word pass."""
+    words = [t for t in universe if is_word_term(t)]
+    rx = hit_word_regex(words)
+    x = (df.withColumn("__hits", F.regexp_extract_all(col_(text), F.lit(rx), 0))
+         .withColumn("__segs", F.split(col_(text), rx, -1)))
+    for out, spec in outputs.items():
+        if spec == "neutral":
+            pat = neutral_pattern(words)
+            word_fn = (lambda p: (lambda w: F.regexp_replace(w, p, "")))(pat)
+            other = [t for t in universe if not is_word_term(t)]
+            tail = (lambda c: F.regexp_replace(c, neutral_pattern(other), "")) if other else (lambda c: c)
+        else:
+            word_fn = _folder([(t, r) for t, r in spec if is_word_term(t)])
+            tail = _folder([(t, r) for t, r in spec if not is_word_term(t)])
+        pieces = F.transform("__hits", lambda h, i: F.concat(F.element_at("__segs", i + 1), word_fn(h)))
+        rebuilt = F.concat(F.array_join(pieces, ""), F.element_at("__segs", -1))
+        x = x.withColumn(out, tail(F.when(F.size("__hits") > 0, rebuilt).otherwise(col_(text))))
+    return x.drop("__hits", "__segs")
+
+
+def count_terms_words(hits: Column, text: Column, terms) -> Column:
+    """array<struct<term, n>>, n = number of ``term\\w*`` matches in the text
+    = number of word occurrences containing the term (zeros included)."""
+    arr = F.array(*[F.lit(t) for t in terms])
+
+    def n_of(t):
+        if_word = F.size(F.filter(hits, lambda w: F.instr(w, t) > 0))
+        return if_word
+
+    out = F.transform(arr, lambda t: F.struct(t.alias("term"), n_of(t).cast("int").alias("n")))
+    other = [t for t in terms if not is_word_term(t)]
+    if not other:
+        return out
+    fixed = {t: F.regexp_count(text, F.lit(quote_regex(t) + W + "*")) for t in other}
+    return F.transform(out, lambda e: F.struct(
+        e["term"].alias("term"),
+        _pick(e, fixed).cast("int").alias("n")))
+
+
+def _pick(e, fixed):
+    c = e["n"]
+    for t, expr in fixed.items():
+        c = F.when(e["term"] == t, expr).otherwise(c)
+    return c
 
 
 def masked_table(docs: DataFrame, text: str, f2m, m2f, universe, pronouns) -> DataFrame:
     """Counts (map incl. zeros), totals and the three rewrites per row."""
-    counts = count_terms_text(text, universe)
+    words = [t for t in universe if is_word_term(t)]
     prons = F.array(*[F.lit(p) for p in pronouns])
-    return (docs.withColumn("__c", counts)
-            .withColumn("count_table", F.map_from_entries(F.col("__c")))
-            .withColumn("count_total", F.aggregate(F.col("__c"), F.lit(0), lambda a, x: a + x["n"]))
-            .withColumn("count_prons", F.aggregate(
-                F.col("__c"), F.lit(0),
-                lambda a, x: a + F.when(F.array_contains(prons, x["term"]), x["n"]).otherwise(0)))
-            .withColumn("text_all_male", mask_text(text, f2m))
-            .withColumn("text_all_female", mask_text(text, m2f))
-            .withColumn("text_all_neutral", mask_neutral_text(text, universe))
-            .drop("__c"))
+    x = docs.withColumn("__hits", hit_words(text, words))
+    x = x.withColumn("__c", count_terms_words(F.col("__hits"), col_(text), list(universe)))
+    x = (x.withColumn("count_table", F.map_from_entries(F.col("__c")))
+         .withColumn("count_total", F.aggregate(F.col("__c"), F.lit(0), lambda a, e: a + e["n"]))
+         .withColumn("count_prons", F.aggregate(
+             F.col("__c"), F.lit(0),
+             lambda a, e: a + F.when(F.array_contains(prons, e["term"]), e["n"]).otherwise(0)))
+         .drop("__c", "__hits"))
+    return add_masks(x, text, {"text_all_male": f2m, "text_all_female": m2f,
+                               "text_all_neutral": "neutral"}, universe)
 
 
 def render_counts(m) -> Column:

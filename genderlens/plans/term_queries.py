@@ -8,8 +8,7 @@ from ..functions.cleaning import sentiment
 from ..functions.text import W, clean_text, quote_regex
 from ..operators.clean import drop_neutral
 from ..operators.ranking import rank_by_numeric
-from ..operators.terms import (masked_table, mask_neutral_text, mask_text, neutral_pattern,
-                               render_counts, term_counts)
+from ..operators.terms import add_masks, masked_table, neutral_pattern, render_counts, term_counts
 from ..operators.vocab import name_lists
 from ..sources import fixtures as fx
 from ..sources import lexicon as lx
@@ -159,18 +158,20 @@ F2M, M2F, UNIVERSE = lx.f2m_pairs(), lx.m2f_pairs(), lx.term_universe()
 
 @register("mask_male", f"WITH {CDOCS_SQL}\nSELECT doc_id, {fold_sql('text', F2M)} AS text_all_male FROM cdocs")
 def q_mask_male(spark, sf):
-    return cleaned_docs(spark, sf).select("doc_id", mask_text("text", F2M).alias("text_all_male"))
+    return add_masks(cleaned_docs(spark, sf), "text", {"text_all_male": F2M}, UNIVERSE).select(
+        "doc_id", "text_all_male")
 
 
 @register("mask_female", f"WITH {CDOCS_SQL}\nSELECT doc_id, {fold_sql('text', M2F)} AS text_all_female FROM cdocs")
 def q_mask_female(spark, sf):
-    return cleaned_docs(spark, sf).select("doc_id", mask_text("text", M2F).alias("text_all_female"))
+    return add_masks(cleaned_docs(spark, sf), "text", {"text_all_female": M2F}, UNIVERSE).select(
+        "doc_id", "text_all_female")
 
 
 @register("mask_neutral", f"WITH {CDOCS_SQL}\nSELECT doc_id, {neutral_sql('text', UNIVERSE)} AS text_all_neutral FROM cdocs")
 def q_mask_neutral(spark, sf):
-    return cleaned_docs(spark, sf).select("doc_id", mask_neutral_text("text", UNIVERSE)
-                                          .alias("text_all_neutral"))
+    return add_masks(cleaned_docs(spark, sf), "text", {"text_all_neutral": "neutral"}, UNIVERSE).select(
+        "doc_id", "text_all_neutral")
 
 
 def masked_cte() -> str:

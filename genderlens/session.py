@@ -68,3 +68,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     the table is returned as is and Spark shuffles both sides."""
     n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks.
+
+    A scan with fewer partitions than the cluster has cores (a small table,
+    or one big row group) is redistributed round-robin; at scale the input
+    splits far outnumber the cores and this is a no-op (no shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par * factor:
+        return df.repartition(par * factor)
+    return df

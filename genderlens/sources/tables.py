@@ -6,6 +6,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
+# Tables whose rows carry long texts: per-row work is CPU-heavy.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -17,5 +22,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Parquet scan; Catalyst prunes columns and pushes filters into it.
+    Text tables are spread over the cores when the scan is under-split."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if name in TEXT_TABLES else df
