@@ -135,21 +135,29 @@ def add_masks(df: DataFrame, text: str, outputs: dict, universe) -> DataFrame:
 
 def count_terms_words(hits: Column, text: Column, terms) -> Column:
     """array<struct<term, n>>, n = number of ``term\\w*`` matches in the text
-    = number of word occurrences containing the term (zeros included)."""
-    arr = F.array(*[F.lit(t) for t in terms])
-
-    def n_of(t):
-        if_word = F.size(F.filter(hits, lambda w: F.instr(w, t) > 0))
-        return if_word
-
-    out = F.transform(arr, lambda t: F.struct(t.alias("term"), n_of(t).cast("int").alias("n")))
+    = number of word occurrences containing the term (zeros included).
+
+    ``hits`` holds every occurrence of a word containing some term. A term
+    is looked up in the short string of distinct hit words first; only the
+    terms present are counted, over the joined hit occurrences (the space
+    separators keep a match inside its word)."""
+    distinct = F.array_join(F.array_distinct(hits), " ")
+    joined = F.array_join(hits, " ")
+    arr = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(quote_regex(t) + W + "*").alias("pattern"))
+                    for t in terms])
+
+    def n_of(x):
+        if not terms:
+            return F.lit(0)
+        return F.when(F.instr(F.col("__hw_distinct"), x["term"]) > 0,
+                      F.regexp_count(F.col("__hw_joined"), x["pattern"])).otherwise(F.lit(0))
+
+    out = F.transform(arr, lambda x: F.struct(x["term"].alias("term"), n_of(x).cast("int").alias("n")))
     other = [t for t in terms if not is_word_term(t)]
-    if not other:
-        return out
-    fixed = {t: F.regexp_count(text, F.lit(quote_regex(t) + W + "*")) for t in other}
-    return F.transform(out, lambda e: F.struct(
-        e["term"].alias("term"),
-        _pick(e, fixed).cast("int").alias("n")))
+    if other:
+        fixed = {t: F.regexp_count(text, F.lit(quote_regex(t) + W + "*")) for t in other}
+        out = F.transform(out, lambda e: F.struct(e["term"].alias("term"), _pick(e, fixed).cast("int").alias("n")))
+    return out, distinct, joined
 
 
 def _pick(e, fixed):
@@ -164,7 +172,9 @@ def masked_table(docs: DataFrame, text: str, f2m, m2f, universe, pronouns) -> Da
     words = [t for t in universe if is_word_term(t)]
     prons = F.array(*[F.lit(p) for p in pronouns])
     x = docs.withColumn("__hits", hit_words(text, words))
-    x = x.withColumn("__c", count_terms_words(F.col("__hits"), col_(text), list(universe)))
+    counts, distinct, joined = count_terms_words(F.col("__hits"), col_(text), list(universe))
+    x = (x.withColumn("__hw_distinct", distinct).withColumn("__hw_joined", joined)
+         .withColumn("__c", counts).drop("__hw_distinct", "__hw_joined"))
     x = (x.withColumn("count_table", F.map_from_entries(F.col("__c")))
          .withColumn("count_total", F.aggregate(F.col("__c"), F.lit(0), lambda a, e: a + e["n"]))
          .withColumn("count_prons", F.aggregate(
