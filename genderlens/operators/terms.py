@@ -249,10 +249,12 @@ def _fold_word(word: Column, rules: Column) -> Column:
 def word_rewrites(vocab: DataFrame, lexicon: DataFrame, extra=()) -> DataFrame:
     """(word, new_word) for every vocabulary word hit by a lexicon term.
 
-    A word is folded, in lexicon order, over the terms it contains plus
-    ``extra`` rules ``(pos, term, repl)``: terms that a replacement can
-    create (terms found inside replacement strings), so cascades match the
-    text-level fold."""
+    A word is folded, in lexicon order, over the lexicon terms it contains
+    plus the literal ``extra`` rules ``(pos, term, repl)`` - pass the whole
+    fixed lexicon (``lexicon.fixed_rules``): a rewrite can create a fixed
+    term at a word junction ("wo" + "kvinde" -> "womand" -> "man"), and a
+    fold over all fixed rules on a short word is cheap. Junction effects
+    that create a data-derived term (e.g. a name) are not followed."""
     hits = term_hits(vocab, lexicon.select("term")).select("word", "term")
     lex = broadcast_if_small(lexicon.select("term", "repl", "pos"))
     rule = F.struct(F.col("pos").cast("long").alias("pos"), "term", "repl")
