@@ -275,7 +275,7 @@ def rewrite_by_vocabulary(docs: DataFrame, key: str, text: str, rewrites: DataFr
                           out: str) -> DataFrame:
     """Rebuild each text from its word / non-word runs with words replaced
     by ``rewrites`` (word, new_word). One shuffle of the runs by ``key``."""
-    runs = docs.select(key, F.posexplode(F.regexp_extract_all(col_(text), F.lit(RUNS), 0))
+    runs = docs.select(key, F.posexplode_outer(F.regexp_extract_all(col_(text), F.lit(RUNS), 0))
                        .alias("p", "tok"))
     rw = broadcast_if_small(rewrites.withColumnRenamed("word", "tok"))
     joined = runs.join(rw, "tok", "left").select(

@@ -1,7 +1,7 @@
 """Query registry: importing the modules registers every query."""
 
 from . import (analytics_queries, clean_queries, io_queries, metric_queries, ml_queries,  # noqa: F401
-               split_queries, term_queries)
+               split_queries, stream_queries, term_queries)
 from .registry import ORACLES, QUERIES
 
 
