@@ -4,6 +4,7 @@ expressions with hashed uniforms (no Python per row)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,11 @@ def vocabulary_ids(docs: DataFrame, text: str, first_id: int = 4) -> DataFrame:
     """(word, id): words ranked by corpus frequency (desc), then word; ids
     start after the special tokens. Buckets of (frequency, 2-char prefix)
     keep the long tail of rare words spread over many tasks."""
+    # the vocabulary with frequencies is reused by the bucket offsets and the
+    # ranking, so it is computed once (bounded by the number of distinct words)
     counts = (docs.select(F.explode(ws_words(text)).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
+              .groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     ranked = rank_with_buckets(counts, [-F.col("cnt"), F.substring("word", 1, 2)],
                                [F.col("cnt").desc(), F.col("word")], "r")
     return ranked.select("word", (F.col("r") + first_id).cast("int").alias("id"))

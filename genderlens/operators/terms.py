@@ -206,7 +206,9 @@ def term_hits(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     Each word is cut into its substrings whose lengths occur among the term
     lengths; an equi-join on substring = term finds the hits, so the cost
     grows with the vocabulary, not with vocabulary x terms."""
-    lengths = sorted({r[0] for r in terms.select(F.length("term").alias("l")).distinct().collect()})
+    t = broadcast_if_small(terms.select(F.col("term").alias("sub")).distinct())
+    # the distinct term lengths: a handful of integers
+    lengths = sorted({r[0] for r in t.select(F.length("sub").alias("l")).distinct().collect()})
     w = F.col("word")
     def cut(L):
         return lambda i: F.struct(F.substring(w, i, L).alias("sub"), i.alias("at"))
@@ -217,7 +219,6 @@ def term_hits(vocab: DataFrame, terms: DataFrame) -> DataFrame:
          .otherwise(empty)
         for L in lengths])) if lengths else empty
     exploded = vocab.select("word", F.explode(subs).alias("s")).select("word", "s.sub", "s.at")
-    t = broadcast_if_small(terms.select(F.col("term").alias("sub")).distinct())
     return (exploded.join(t, "sub")
             .groupBy("word", F.col("sub").alias("term")).agg(F.min("at").alias("at")))
 
@@ -233,8 +234,7 @@ def term_counts(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataF
     from lineage if an executor is lost) and measured; under the broadcast
     bound the token stream is joined map-side without a shuffle. Only hit
     tokens reach the (key, term) aggregation, which combines map-side."""
-    hits = term_hits(vocabulary(docs, text), terms).persist(StorageLevel.MEMORY_AND_DISK)
-    hits_b = broadcast_if_small(hits.select("word", "term"))
+    hits_b = broadcast_if_small(term_hits(vocabulary(docs, text), terms).select("word", "term"))
     return (doc_tokens(docs, key, text).join(hits_b, "word")
             .groupBy(key, "term").agg(F.count(F.lit(1)).cast("long").alias("n")))
 

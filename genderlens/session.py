@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +67,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     ``known_rows`` is a static bound (e.g. a fixed lexicon or a bucket
     count); otherwise one count action measures the table. Beyond the bound
     the table is returned as is and Spark shuffles both sides."""
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if known_rows is not None:
+        return F.broadcast(df) if known_rows <= max_rows else df
+    # measure once and keep what was measured, so the join does not
+    # recompute it (a cached block lost with an executor is recomputed)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.count() <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:

@@ -94,7 +94,10 @@ _ONE_SIDED_BASE = 10 ** 15      # ... and before the one-sided terms
 
 
 def _entries_df(spark: SparkSession, rows, cols=("term", "repl", "pos")) -> DataFrame:
-    return spark.createDataFrame(rows, "term string, repl string, pos long").select(*cols)
+    """Fixed entries as a JVM-side literal relation (no Python-backed scan)."""
+    arr = F.array(*[F.struct(F.lit(t).cast("string").alias("term"), F.lit(r).cast("string").alias("repl"),
+                             F.lit(p).cast("long").alias("pos")) for t, r, p in rows])
+    return spark.range(1).select(F.inline(arr)).select(*cols)
 
 
 def lexicon_frame(spark: SparkSession, direction: str, names: DataFrame | None = None) -> DataFrame:
