@@ -277,8 +277,13 @@ def rewrite_by_vocabulary(docs: DataFrame, key: str, text: str, rewrites: DataFr
     by ``rewrites`` (word, new_word). One shuffle of the runs by ``key``."""
     runs = docs.select(key, F.posexplode_outer(F.regexp_extract_all(col_(text), F.lit(RUNS), 0))
                        .alias("p", "tok"))
-    rw = broadcast_if_small(rewrites.withColumnRenamed("word", "tok"))
-    joined = runs.join(rw, "tok", "left").select(
+    rw = broadcast_if_small(rewrites.select(F.col("word").alias("__k"), "new_word"))
+    # Non-word runs (" ", "\n", ...) never match and are the hottest keys of
+    # all; if the join has to shuffle, give each its own key so they spread.
+    is_word = F.col("tok").rlike(f"^{W}+$")
+    k = F.when(is_word, F.col("tok")).otherwise(
+        F.concat(F.lit("\u0000"), F.col(key).cast("string"), F.lit(":"), F.col("p").cast("string")))
+    joined = runs.withColumn("__k", k).join(rw, "__k", "left").select(
         key, "p", F.coalesce(F.col("new_word"), F.col("tok")).alias("tok"))
     return (joined.groupBy(key)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))),

@@ -184,7 +184,7 @@ def q_batch_assign(spark, sf):
 
 
 # ------------------------------------------------------------------ encode
-ENCODE_LEN = 16
+ENCODE_LEN = 512  # the maximum sequence length of the studied encoder
 
 
 @register("encode_fixed", f"""WITH {CDOCS_WS_SQL},

@@ -84,7 +84,9 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     A scan with fewer partitions than the cluster has cores (a small table,
     or one big row group) is redistributed round-robin; at scale the input
     splits far outnumber the cores and this is a no-op (no shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par * factor:
-        return df.repartition(par * factor)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): keep the scan as is
+        return df
+    return df.repartition(par * factor) if parts < par * factor else df

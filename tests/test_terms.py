@@ -115,3 +115,16 @@ def test_fixed_rules_match_lexicon_frame(spark):
 def test_empty_lexicon_is_identity(spark):
     df = spark.createDataFrame([(1, "hun og han"), (2, "")], "id int, text string")
     assert [r.t for r in df.select(mask_text("text", []).alias("t")).orderBy("t").collect()] == ["", "hun og han"]
+
+
+def test_stream_equals_batch(spark):
+    from genderlens.streaming.stream import document_stream, masked_stream, run_available
+    from tests.conftest import SF001
+    from genderlens.plans.term_queries import cleaned_docs  # noqa: F401
+    from genderlens.sources.tables import read_table
+    out = run_available(masked_stream(document_stream(spark, SF001)), "test")
+    streamed = {r.ID: (r.count_total, r.text_all_male, r.text_all_neutral)
+                for r in spark.read.parquet(out).collect()}
+    batch = {r.ID: (r.count_total, r.text_all_male, r.text_all_neutral)
+             for r in masked_stream(read_table(spark, SF001, "documents")).collect()}
+    assert streamed == batch and len(batch) > 0
