@@ -203,22 +203,30 @@ def term_hits(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """(word, term, at): every vocabulary word containing a term, with the
     1-based position of the term's first occurrence.
 
-    Each word is cut into its substrings whose lengths occur among the term
-    lengths; an equi-join on substring = term finds the hits, so the cost
-    grows with the vocabulary, not with vocabulary x terms."""
+    At each position of a word whose first two characters begin some term,
+    the substrings with the term lengths are cut and equi-joined with the
+    terms, so the cost grows with the vocabulary, not vocabulary x terms.
+    The driver only sees the distinct term lengths and two-character term
+    starts (bounded by the alphabet, not by the data)."""
     t = broadcast_if_small(terms.select(F.col("term").alias("sub")).distinct())
-    # the distinct term lengths: a handful of integers
-    lengths = sorted({r[0] for r in t.select(F.length("sub").alias("l")).distinct().collect()})
-    w = F.col("word")
-    def cut(L):
-        return lambda i: F.struct(F.substring(w, i, L).alias("sub"), i.alias("at"))
-
+    stats = t.select(F.length("sub").alias("l"), F.substring("sub", 1, 2).alias("b")).distinct().collect()
+    lengths = sorted({r.l for r in stats})
+    starts = sorted({r.b for r in stats})
     empty = F.array().cast("array<struct<sub:string,at:int>>")
-    subs = F.flatten(F.array(*[
-        F.when(F.length(w) >= L, F.transform(F.sequence(F.lit(1), F.length(w) - L + 1), cut(L)))
-         .otherwise(empty)
-        for L in lengths])) if lengths else empty
-    exploded = vocab.select("word", F.explode(subs).alias("s")).select("word", "s.sub", "s.at")
+    if not lengths:
+        return vocab.select("word", F.lit(None).cast("string").alias("term"),
+                            F.lit(None).cast("int").alias("at")).limit(0)
+    w = F.col("word")
+    n = F.length(w)
+    positions = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    if min(lengths) >= 2:  # keep positions where a term can start
+        positions = F.filter(positions, lambda i: F.substring(w, i, 2).isin(starts))
+    lens = F.array(*[F.lit(L) for L in lengths])
+    subs = F.flatten(F.transform(positions, lambda i: F.transform(
+        F.filter(lens, lambda L: i + L - 1 <= n),
+        lambda L: F.struct(F.substring(w, i, L).alias("sub"), i.alias("at")))))
+    exploded = (vocab.select("word", F.explode(F.when(n > 0, subs).otherwise(empty)).alias("s"))
+                .select("word", "s.sub", "s.at"))
     return (exploded.join(t, "sub")
             .groupBy("word", F.col("sub").alias("term")).agg(F.min("at").alias("at")))
 
