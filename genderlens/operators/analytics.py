@@ -53,7 +53,8 @@ def unpivot_bias(summary: DataFrame) -> DataFrame:
 
 def model_order(df: DataFrame, order: list[str], col: str = "Model") -> DataFrame:
     """Categorical sort key (1-based place in ``order``; 0 if absent)."""
-    return df.withColumn("model_rank", F.array_position(F.array(*[F.lit(m) for m in order]), F.col(col)))
+    return df.withColumn("model_rank",
+                         F.array_position(F.array(*[F.lit(m) for m in order]), F.col(col)).cast("int"))
 
 
 def rounded_labels(summary: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
