@@ -296,3 +296,51 @@ def rewrite_by_vocabulary(docs: DataFrame, key: str, text: str, rewrites: DataFr
     return (joined.groupBy(key)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))),
                                           lambda s: s["tok"]), "").alias(out)))
+
+
+def _field(c):
+    return lambda e: e["r"][c]
+
+
+def masked_table_vocabulary(docs: DataFrame, key: str, text: str, lex_f2m: DataFrame,
+                            lex_m2f: DataFrame, pronouns, extra_f2m=(), extra_m2f=()) -> DataFrame:
+    """T14 on the vocabulary path, for lexicons of any size (name lists).
+
+    Per distinct hit word: the male and female folds and the neutral form
+    (the word up to its earliest term hit). Per document: term counts from
+    the token x hit join, and the text rebuilt from its runs in one pass
+    for all three rewrites. Shuffles: distinct vocabulary, the (doc, term)
+    count aggregation and one regroup of the runs by document."""
+    universe = lex_f2m.select("term").union(lex_m2f.select("term")).distinct()
+    vocab = vocabulary(docs, text)
+    hits = broadcast_if_small(term_hits(vocab, universe))
+    male = word_rewrites(vocab, lex_f2m, extra_f2m).withColumnRenamed("new_word", "m")
+    female = word_rewrites(vocab, lex_m2f, extra_m2f).withColumnRenamed("new_word", "f")
+    neutral = hits.groupBy("word").agg(F.min("at").alias("at")).select(
+        "word", F.expr("substring(word, 1, at - 1)").alias("n"))
+    table = broadcast_if_small(neutral.join(male, "word", "left").join(female, "word", "left"))
+    runs = docs.select(key, F.posexplode_outer(F.regexp_extract_all(col_(text), F.lit(RUNS), 0))
+                       .alias("p", "tok"))
+    is_word = F.col("tok").rlike(f"^{W}+$")
+    k = F.when(is_word, F.col("tok")).otherwise(
+        F.concat(F.lit("\u0000"), F.col(key).cast("string"), F.lit(":"), F.col("p").cast("string")))
+    j = runs.withColumn("word", k).join(table, "word", "left").select(
+        key, "p", F.struct(
+            F.coalesce("m", "tok").alias("m"),
+            F.coalesce("f", "tok").alias("f"),
+            F.when(F.col("n").isNotNull(), F.col("n")).otherwise(F.col("tok")).alias("n")).alias("r"))
+    texts = (j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "r"))).alias("s"))
+             .select(key, *[F.array_join(F.transform("s", _field(c)), "").alias(out)
+                            for c, out in (("m", "text_all_male"), ("f", "text_all_female"),
+                                           ("n", "text_all_neutral"))]))
+    tok = doc_tokens(docs, key, text).join(hits.select("word", "term"), "word")
+    counts = (tok.groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
+              .groupBy(key).agg(
+                  F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("count_table"),
+                  F.sum("n").cast("int").alias("count_total"),
+                  F.coalesce(F.sum(F.when(F.col("term").isin(*pronouns), F.col("n"))), F.lit(0))
+                  .cast("int").alias("count_prons")))
+    return (texts.join(counts, key, "left")
+            .withColumn("count_table", F.coalesce("count_table", F.create_map().cast("map<string,int>")))
+            .withColumn("count_total", F.coalesce("count_total", F.lit(0)))
+            .withColumn("count_prons", F.coalesce("count_prons", F.lit(0))))

@@ -128,3 +128,30 @@ def test_stream_equals_batch(spark):
     batch = {r.ID: (r.count_total, r.text_all_male, r.text_all_neutral)
              for r in masked_stream(read_table(spark, SF001, "documents")).collect()}
     assert streamed == batch and len(batch) > 0
+
+
+def test_masked_table_vocabulary_with_names(spark):
+    from genderlens.operators.terms import masked_table_vocabulary
+    fem, mal = ["anna", "karen"], ["bo", "mads"]
+    names = spark.createDataFrame([(n, "female", i) for i, n in enumerate(fem)]
+                                  + [(n, "male", 10 + i) for i, n in enumerate(mal)],
+                                  "name string, gender string, ord long")
+    rng = random.Random(13)
+    texts = []
+    for i, t in random_texts(120, seed=21):
+        extra = " ".join(rng.choice(fem + mal + ["x"]) for _ in range(rng.randint(0, 4)))
+        texts.append((i, t + " " + extra))
+    df = spark.createDataFrame(texts, "id int, text string")
+    m = masked_table_vocabulary(df, "id", "text", lx.lexicon_frame(spark, "f2m", names),
+                                lx.lexicon_frame(spark, "m2f", names), lx.PRONOUNS,
+                                lx.fixed_rules("f2m"), lx.fixed_rules("m2f")).collect()
+    f2m, m2f = lx.f2m_pairs(fem), lx.m2f_pairs(mal)
+    uni = lx.term_universe(fem, mal)
+    assert len(m) == len(texts)
+    for r in m:
+        t = texts[r.id][1]
+        assert r.text_all_male == py_fold(t, f2m)
+        assert r.text_all_female == py_fold(t, m2f)
+        assert r.text_all_neutral == py_neutral(t, uni)
+        exp = {k: v for k, v in py_counts(t, uni).items() if v}
+        assert dict(r.count_table) == exp and r.count_total == sum(exp.values())
