@@ -2,8 +2,9 @@
 
 Seeded randomness is a key hash (``md5(id:seed)``), so results do not
 depend on partitioning or on re-execution after a lost executor. Exact
-split sizes use the bucketed dense rank (``ranking``), never a
-single-partition window."""
+split sizes come from a cut key found on narrow columns (rows are not
+shuffled); full orders (shuffle, batches) use the bucketed dense rank
+(``ranking``), never a single-partition window."""
 
 from __future__ import annotations
 
@@ -12,9 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from ..functions.rand import hash_uniform
-from ..session import broadcast_if_small
-from .ranking import rank_by_uniform
+from .ranking import default_buckets, rank_by_uniform
 
 
 def order_key(id_col: str | Column, seed: int) -> Column:
@@ -34,26 +36,77 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int, out: str = "rank",
                            out, group=group, group_card=group_card)
 
 
-def split(df: DataFrame, id_col: str = "ID", test_size: float = 0.3, seed: int = 123) -> DataFrame:
+def _cut_keys(df: DataFrame, id_col: str, seed: int, n_test: dict, group: str | None,
+              buckets: int) -> dict:
+    """Per group, the (key, id) of the row at 0-based seeded position
+    ``n_test[g] - 1``. Only narrow columns are read: per-bucket counts
+    (one row per bucket and group) locate the bucket holding the cut, and
+    only that bucket's rows are ranked."""
+    gcol = F.col(group) if group else F.lit(0)
+    x = df.select(gcol.alias("__g"), F.col(id_col).alias("__id"),
+                  F.floor(key_uniform(id_col, seed) * buckets).cast("int").alias("__b"),
+                  order_key(id_col, seed).alias("__k"))
+    counts = {}
+    for r in x.groupBy("__g", "__b").count().collect():  # <= buckets x groups rows
+        counts.setdefault(r["__g"], []).append((r["__b"], r["count"]))
+    target = {}
+    for g, need in n_test.items():
+        if need <= 0:
+            continue
+        seen = 0
+        for bkt, c in sorted(counts.get(g, [])):
+            if seen + c >= need:
+                target[g] = (bkt, need - 1 - seen)
+                break
+            seen += c
+    if not target:
+        return {}
+    cond = None
+    for g, (bkt, _) in target.items():
+        c = F.col("__g").eqNullSafe(F.lit(g)) & (F.col("__b") == bkt)
+        cond = c if cond is None else (cond | c)
+    w = Window.partitionBy("__g").orderBy("__k", "__id")
+    picked = (x.filter(cond).withColumn("__r", F.row_number().over(w) - 1)
+              .select("__g", "__r", "__k", "__id").collect())  # rows of <= #groups buckets
+    out = {}
+    for r in picked:
+        if r["__r"] == target[r["__g"]][1]:
+            out[r["__g"]] = (r["__k"], r["__id"])
+    return out
+
+
+def _assign(df: DataFrame, id_col: str, seed: int, cuts: dict, group: str | None) -> DataFrame:
+    k, i = order_key(id_col, seed), F.col(id_col)
+    gcol = F.col(group) if group else F.lit(0)
+    test = F.lit(False)
+    for g, (kt, it) in cuts.items():
+        at_or_before = (k < F.lit(kt)) | ((k == F.lit(kt)) & (i <= F.lit(it)))
+        test = F.when(gcol.eqNullSafe(F.lit(g)), at_or_before).otherwise(test)
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+
+
+def split(df: DataFrame, id_col: str = "ID", test_size: float = 0.3, seed: int = 123,
+          buckets: int | None = None) -> DataFrame:
     """Q1: exact split, test = the first ceil(test_size * n) rows of the
-    seeded order. ``n`` is one count action (a scalar)."""
+    seeded order (md5(id:seed), then id).
+
+    The rows themselves are never shuffled: narrow passes find the cut key
+    (see ``_cut_keys``) and each row is labelled by comparing with it."""
     n = df.count()
-    n_test = math.ceil(test_size * n)
-    r = seeded_rank(df, id_col, seed, "__r")
-    return r.withColumn("split", F.when(F.col("__r") < n_test, "test").otherwise("train")).drop("__r")
+    b = buckets or default_buckets(df)
+    cuts = _cut_keys(df, id_col, seed, {0: math.ceil(test_size * n)}, None, b)
+    return _assign(df, id_col, seed, cuts, None)
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str = "ID", test_size: float = 0.3,
-                     seed: int = 123, label_card: int = 3) -> DataFrame:
+                     seed: int = 123, buckets: int | None = None) -> DataFrame:
     """Q2: the same per label: test = first ceil(test_size * n_label) rows of
-    each label's seeded order. Labels are spread over hash buckets, so a
-    dominant label does not become one giant task."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    r = seeded_rank(df, id_col, seed, "__r", group=[label], group_card=label_card)
-    r = r.join(broadcast_if_small(sizes, known_rows=label_card), label)
-    return (r.withColumn("split", F.when(F.col("__r") < F.ceil(F.col("__n") * F.lit(test_size)), "test")
-                         .otherwise("train"))
-            .drop("__r", "__n"))
+    each label's seeded order. Label sizes are one small aggregation; a
+    dominant label costs no more than the others (no per-label task)."""
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    b = buckets or default_buckets(df)
+    cuts = _cut_keys(df, id_col, seed, {g: math.ceil(test_size * n) for g, n in sizes.items()}, label, b)
+    return _assign(df, id_col, seed, cuts, label)
 
 
 def condition_sets(masked: DataFrame) -> DataFrame:

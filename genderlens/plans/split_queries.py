@@ -13,7 +13,7 @@ from ..operators.clean import drop_neutral
 from ..sources import fixtures as fx
 from .clean_queries import SENT_SQL, clean_text_sql
 from .registry import register
-from .term_queries import cleaned_docs, masked_cte, masked_reviews
+from .term_queries import cleaned_docs, mask_reviews, masked_cte, review_base
 
 SP_SQL = r"[\s\p{Z}\x0B\x1c-\x1f\x{85}]"
 
@@ -67,8 +67,9 @@ def q_split_stratified(spark, sf):
 
 
 def masked_split(spark, sf):
-    m = masked_reviews(spark, sf)
-    return S.split(m, "ID")
+    """Split first, then mask: the rank shuffle carries one text column,
+    and the masks are computed after it (row-wise, no shuffle)."""
+    return mask_reviews(S.split(review_base(spark, sf), "ID"))
 
 
 MASKED_SPLIT_SQL = masked_cte() + f""",

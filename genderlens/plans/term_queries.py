@@ -201,13 +201,21 @@ def _masked_sql() -> str:
             "text_all_female, text_all_neutral FROM masked")
 
 
-def masked_reviews(spark, sf):
+def review_base(spark, sf):
+    """Labelled reviews after C8 with cleaned text: (ID, Review_cleaned, Sentiment)."""
     r = fx.reviews(spark, sf).select("doc_id", "Review", sentiment("Rating").alias("Sentiment"))
-    base = drop_neutral(r).select(F.col("doc_id").alias("ID"), clean_text("Review").alias("Review_cleaned"),
+    return drop_neutral(r).select(F.col("doc_id").alias("ID"), clean_text("Review").alias("Review_cleaned"),
                                   "Sentiment")
+
+
+def mask_reviews(base):
     return masked_table(base, "Review_cleaned", F2M, M2F, UNIVERSE, lx.PRONOUNS)
 
 
+def masked_reviews(spark, sf):
+    return mask_reviews(review_base(spark, sf))
+
+
 @register("masked_table", _masked_sql())
 def q_masked_table(spark, sf):
     m = masked_reviews(spark, sf)
