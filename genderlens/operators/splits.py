@@ -61,18 +61,23 @@ def _cut_keys(df: DataFrame, id_col: str, seed: int, n_test: dict, group: str |
             seen += c
     if not target:
         return {}
-    cond = None
-    for g, (bkt, _) in target.items():
+    cond, want = None, None
+    for g, (bkt, pos) in target.items():
         c = F.col("__g").eqNullSafe(F.lit(g)) & (F.col("__b") == bkt)
         cond = c if cond is None else (cond | c)
+        wc = F.col("__g").eqNullSafe(F.lit(g)) & (F.col("__r") == pos)
+        want = wc if want is None else (want | wc)
+    # rank only the rows of the target bucket(s); only the cut rows (one
+    # per group) reach the driver
     w = Window.partitionBy("__g").orderBy("__k", "__id")
     picked = (x.filter(cond).withColumn("__r", F.row_number().over(w) - 1)
-              .select("__g", "__r", "__k", "__id").collect())  # rows of <= #groups buckets
-    out = {}
-    for r in picked:
-        if r["__r"] == target[r["__g"]][1]:
-            out[r["__g"]] = (r["__k"], r["__id"])
-    return out
+              .filter(want).select("__g", "__k", "__id").collect())
+    return {r["__g"]: (r["__k"], r["__id"]) for r in picked}
+
+
+def _buckets(df: DataFrame, n: int, buckets: int | None) -> int:
+    """Enough hash buckets that one holds at most ~2M rows on average."""
+    return buckets or max(default_buckets(df), math.ceil(n / 2_000_000))
 
 
 def _assign(df: DataFrame, id_col: str, seed: int, cuts: dict, group: str | None) -> DataFrame:
@@ -93,8 +98,7 @@ def split(df: DataFrame, id_col: str = "ID", test_size: float = 0.3, seed: int =
     The rows themselves are never shuffled: narrow passes find the cut key
     (see ``_cut_keys``) and each row is labelled by comparing with it."""
     n = df.count()
-    b = buckets or default_buckets(df)
-    cuts = _cut_keys(df, id_col, seed, {0: math.ceil(test_size * n)}, None, b)
+    cuts = _cut_keys(df, id_col, seed, {0: math.ceil(test_size * n)}, None, _buckets(df, n, buckets))
     return _assign(df, id_col, seed, cuts, None)
 
 
@@ -104,7 +108,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str = "ID", test_size: f
     each label's seeded order. Label sizes are one small aggregation; a
     dominant label costs no more than the others (no per-label task)."""
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    b = buckets or default_buckets(df)
+    b = _buckets(df, sum(sizes.values()), buckets)
     cuts = _cut_keys(df, id_col, seed, {g: math.ceil(test_size * n) for g, n in sizes.items()}, label, b)
     return _assign(df, id_col, seed, cuts, label)
 

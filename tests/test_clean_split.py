@@ -107,3 +107,12 @@ def test_html_missing_blocks(spark):
     r1, r2 = scrape_pages(df).orderBy("page_id").collect()
     assert (r1.Title, r1.Rating, r1.Review, r1.Author) == ("A & B", 2, "Firstbold Second", None)
     assert (r2.Title, r2.Rating, r2.Review) == (None, None, None)
+
+
+def test_splits_independent_of_partitioning(spark):
+    df = spark.range(3000).withColumnRenamed("id", "ID").withColumn("label", (F.col("ID") % 4 == 0).cast("int"))
+    a = {r.ID: r.split for r in S.stratified_split(df.repartition(2), "label", buckets=16).collect()}
+    b = {r.ID: r.split for r in S.stratified_split(df.repartition(13), "label", buckets=64).collect()}
+    c = {r.ID: r.split for r in S.split(df.repartition(5), buckets=7).collect()}
+    d = {r.ID: r.split for r in S.split(df.repartition(9)).collect()}
+    assert a == b and c == d
