@@ -8,7 +8,9 @@ from ..sources import csv as C
 from ..sources import fixtures as fx
 from ..sources.html import ENTITIES, PARA_OPEN, SCRIPT_STYLE, STAR_IMG, TAG, div_pattern, scrape_pages
 from .clean_queries import CLEAN_REVIEWS_SQL, q_clean_reviews
-from .metric_queries import BINARY_SQL, binary_metrics_df
+from ..operators import analytics as P
+from ..operators import bias as B
+from .metric_queries import BIAS_SUMMARY_SQL, BINARY_SQL, binary_metrics_df
 from .registry import register
 
 SP_SQL = r"[\s\p{Z}\x0B\x1c-\x1f\x{85}]"
@@ -105,3 +107,18 @@ def q_drop_embedded_headers(spark, sf):
     kept = C.drop_embedded_headers(raw, "Model_type")
     return kept.select("Model_type", "Gender", "Model",
                        *[F.col(c).cast("double").alias(c) for c in _MCOLS[3:]])
+
+
+@register("bias_csv_indexed", f"""WITH bs AS ({BIAS_SUMMARY_SQL})
+SELECT (coalesce(list_position({fx._sql_list(fx.MODELS)}, Model), 0) - 1)::BIGINT AS "index", Model,
+       Total_Bias, Abs_Bias, Effect_Size
+FROM bs""")
+def q_bias_csv_indexed(spark, sf):
+    """S3 with an index: the bias table written with a leading row index in
+    model order, read back with an explicit schema."""
+    s = B.bias_summary(B.sample_bias(fx.pred_pairs(spark, sf), ["Model"]), ["Model"])
+    indexed = C.with_index(P.model_order(s, fx.MODELS), "model_rank").drop("model_rank")
+    path = C.scratch_path(spark, "bias")
+    C.write_csv(indexed, path)
+    return C.read_csv(spark, path, "`index` long, Model string, Total_Bias double, Abs_Bias double, "
+                                   "Effect_Size double")

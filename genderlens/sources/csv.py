@@ -46,3 +46,9 @@ def write_lines_in_order(df: DataFrame, line: str, order: list[str], path: str)
     """Write text lines in a given order as one file (for small result
     tables only: the caller bounds the size, e.g. one row per model)."""
     df.orderBy(*order).select(line).coalesce(1).write.mode("overwrite").text(path)
+
+
+def with_index(df: DataFrame, order_col: str, name: str = "index") -> DataFrame:
+    """A 0-based row index column for sinks that write one, following a
+    dense 1-based order column (e.g. the categorical model order)."""
+    return df.select((F.col(order_col) - 1).cast("long").alias(name), *[c for c in df.columns])
