@@ -78,15 +78,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return df
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, factor: int = 2, input_bytes: int | None = None,
+           bytes_per_task: int = 1 << 20) -> DataFrame:
     """Give CPU-heavy per-row work enough tasks.
 
     A scan with fewer partitions than the cluster has cores (a small table,
-    or one big row group) is redistributed round-robin; at scale the input
-    splits far outnumber the cores and this is a no-op (no shuffle)."""
+    or one big row group) is redistributed round-robin, to about one task
+    per ``bytes_per_task`` of input and at most ``factor`` x the cores. At
+    scale the input splits far outnumber the cores and this is a no-op (no
+    shuffle); a small table on a big cluster gets a few tasks, not one per
+    core."""
     try:
         par = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): keep the scan as is
         return df
-    return df.repartition(par * factor) if parts < par * factor else df
+    target = par * factor
+    if input_bytes is not None:
+        target = min(target, max(1, -(-input_bytes // bytes_per_task)))
+    return df.repartition(target) if parts < target else df

@@ -24,5 +24,19 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it.
     Text tables are spread over the cores when the scan is under-split."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df) if name in TEXT_TABLES else df
+    path = table_path(sf_dir, name)
+    df = spark.read.parquet(path)
+    if name not in TEXT_TABLES:
+        return df
+    size = _local_size(path)
+    # remote (cluster) storage: tables there are split into many files
+    return spread(df, input_bytes=size) if size is not None else df
+
+
+def _local_size(path: str) -> int | None:
+    p = path[len("file:"):] if path.startswith("file:") else path
+    if "://" in p or not os.path.exists(p):
+        return None
+    if os.path.isfile(p):
+        return os.path.getsize(p)
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(p) for f in fs)
