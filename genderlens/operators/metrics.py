@@ -106,7 +106,9 @@ def early_stop(scores: DataFrame, group: list[str], order: str, value: str,
     A score improves when it beats best + delta ('max', the reference's
     reading) or best - delta ('min', for losses); ``patience`` epochs
     without improvement stop the run. Each group's series is folded with a
-    higher-order ``aggregate`` (series length = number of epochs)."""
+    higher-order ``aggregate``. Input: one row per (group, epoch), so a
+    group's list is bounded by the number of epochs (aggregate raw rows per
+    epoch first)."""
     seq = scores.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
         .alias("s"))
