@@ -14,9 +14,12 @@ from pyspark.sql.types import StructType
 from ..session import checkpoint_dir
 
 # Values are kept byte for byte: Spark's CSV writer trims surrounding
-# whitespace unless told not to.
+# whitespace unless told not to, and an explicit null marker keeps an empty
+# string ("") apart from a missing value.
+NULL_MARK = "\\N"
 CSV_OPTS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
-            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+            "nullValue": NULL_MARK}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
