@@ -51,7 +51,8 @@ def test_dense_id_ranks_per_bucket(spark):
 ORACLE_SUBSET = ["clean_author", "sentiment_bucket", "dense_id", "danish_date", "clean_text", "lexicon_f2m",
                  "term_universe", "mask_male", "mask_neutral", "binary_metrics", "bias_summary",
                  "split_70_30", "split_stratified", "random_swap", "encode_fixed", "rating_kde", "html_fields",
-                 "early_stop"]
+                 "early_stop", "masked_table", "masked_table_names", "csv_roundtrip", "bias_csv_indexed",
+                 "stream_masked", "condition_sets"]
 
 
 @pytest.fixture(scope="module")
