@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,8 +27,6 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-ckpt-", dir="/tmp"))
     qs = queries()
     names = [q for q in (sys.argv[1:] or HEADLINE) if q in qs]
     # warm-up: JVM start, class loading and the first parquet footer reads

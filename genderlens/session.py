@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # ``broadcast_if_small``). Lexicon-sized tables sit far below it.
 BROADCAST_MAX_ROWS = 2_000_000
 
+# Scratch folders of local sessions without the setting, by application.
+_SCRATCH: dict[str, str] = {}
+
 
 def get_spark(master: str | None = None, app: str = "genderlens",
               shuffle_partitions: int | None = None) -> SparkSession:
@@ -45,21 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="genderlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="genderlens-ckpt-", dir="/tmp")
+        path = _SCRATCH[app]
     return path
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                        known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven under ``max_rows``.
