@@ -1,17 +1,50 @@
-"""The registered queries of this subpackage and their oracle SQL."""
+"""The registered queries of this subpackage and their oracle SQL.
+
+Each query applies its operator with production parameters to its whole
+table. SQL can express the URL filter; the others are trained, suffix-sorted,
+hashed or packed and are tested against brute force or held-out labels in
+``tests/llm``."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, order_minhash, simhash, suffix_dedup
+from . import bpe, embed_dedup, html_extract, order_minhash, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
+#: The explicit url rules.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def page_document(url):
+    """The document that a page shows: the number at the end of its path."""
+    return F.regexp_extract(url, r"(?s)^.*?://[^/?#]*/[a-z]+/([0-9]{1,18})", 1)
+
+
+def op1_url_filter(spark, sf_dir):
+    """A page's outcome is good if the document that it shows is labelled of
+    quality and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = page_document(F.col("url"))
+    shown = pages.select("url", F.when(number != "", number).cast("bigint").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels")
+    outcomes = shown.join(labels, "doc_id").select("url", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return url_filter.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
 
 def op4_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.cleaned(docs, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.cleaned(docs, kept="digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_simhash(spark, sf_dir):
@@ -19,20 +52,94 @@ def op5_simhash(spark, sf_dir):
     return g.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op8_html_extract(spark, sf_dir):
+    """The labelled pages are a bounded sample of pages with the texts of the
+    documents that they show."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    number = page_document(F.col("url"))
+    some = pages.select(F.when(number != "", number).cast("bigint").alias("__doc"), "html").where("__doc is not null")
+    some = some.orderBy(F.xxhash64("__doc"), F.xxhash64("html")).limit(html_extract.SAMPLE)  # at most SAMPLE rows: broadcast
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__doc"))
+    chain = html_extract.learn(labelled.select("html", "text"))
+    return html_extract.extracted(pages, chain).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op9_embed_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_order_minhash(spark, sf_dir):
     return order_minhash.successor_likeness(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_html_extract": op8_html_extract,
+    "op9_embed_dedup": op9_embed_dedup,
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_URL_SQL = r"""
+with p as (
+  select page_id, url,
+         case when position('://' in coalesce(url, '')) > 0
+              then substr(url, position('://' in url) + 3) else '' end as rest
+  from pages),
+q as (
+  select page_id, url,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') as path,
+         try_cast(nullif(regexp_extract(rest, '^[^/?#]*/[a-z]+/([0-9]{1,18})', 1, 's'), '') as bigint) as doc_id
+  from p),
+lab as (
+  select q.host, count(*) as n, sum(case when l.quality = 1 and l.toxic = 0 then 1 else 0 end) as x
+  from q join labels l on l.doc_id = q.doc_id
+  where l.quality is not null and l.toxic is not null group by q.host),
+h as (
+  select d.host, coalesce(n, 0) as n, coalesce(x, 0) as x,
+         list_aggregate(list_slice(string_split(d.host, '.'), -2, -1), 'string_agg', '.') as domain,
+         list_extract(string_split(d.host, '.'), -1) as suffix
+  from (select distinct host from q) d left join lab on lab.host = d.host),
+whole as (select case when sum(n) > 0 then sum(x)::double / sum(n) else 0.5 end as m from h),
+s as (select suffix, sum(n) as n, sum(x) as x, (select m from whole) as prior from h group by suffix),
+ks as (select 1 / least(greatest(coalesce((sum(n * pow(x / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.001), 0.5) - 1 as k from s where n > 0),
+sp as (select suffix, (k * prior + x) / (k + n) as prior from s, ks),
+d as (select h.suffix, h.domain, sum(n) as n, sum(x) as x, any_value(sp.prior) as prior
+      from h join sp on sp.suffix = h.suffix group by h.suffix, h.domain),
+kd as (select 1 / least(greatest(coalesce((sum(n * pow(x / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.001), 0.5) - 1 as k from d where n > 0),
+dp as (select suffix, domain, (k * prior + x) / (k + n) as prior from d, kd),
+j as (select h.host, h.n, h.x, dp.prior from h join dp on dp.suffix = h.suffix and dp.domain = h.domain),
+kj as (select 1 / least(greatest(coalesce((sum(n * pow(x / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.001), 0.5) - 1 as k from j where n > 0),
+ab as (select host, k * prior + x as a, k * (1 - prior) + n - x as b from j, kj),
+rep as (select host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bound from ab),
+r as (
+  select q.page_id, q.host, q.path, rep.bound,
+         case when (q.host = 'www.example.com' or q.host like '%.www.example.com') and starts_with(q.path, '/en/') then 'www.example.com/en/'
+              when (q.host = 'example.com' or q.host like '%.example.com') and starts_with(q.path, '/en/') then 'example.com/en/'
+              when (q.host = 'net' or q.host like '%.net') and starts_with(q.path, '/es/') then 'net/es/'
+              when (q.host = 'net' or q.host like '%.net') and starts_with(q.path, '/fr/') then 'net/fr/'
+              when (q.host = 'com' or q.host like '%.com') and starts_with(q.path, '/') then 'com/' end as rule
+  from q join rep on rep.host = q.host)
+select page_id, host, path, rule,
+       case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
+            when bound >= 0.5 then 'allow' else 'block' end as verdict
+from r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URL_SQL}

@@ -192,6 +192,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` (all columns) whose id is their group's smallest;
     repeated rows of that id count once. Rows with a null id stay."""
     chosen = cut(groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, max_bits)
-                 .where("id = component_id").select(F.col("id").alias("__keep")).distinct())
-    kept = docs.join(chosen, F.col(id_col).cast("bigint") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+                 .where("id = component_id").groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("__rows")))
+    kept = docs.join(chosen.select("__keep"), F.col(id_col).cast("bigint") == F.col("__keep"), "left_semi")
+    if not chosen.where("__rows > 1").isEmpty():  # only then is there a row to drop
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

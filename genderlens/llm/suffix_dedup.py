@@ -463,18 +463,25 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
+#: What ``cleaned`` returns of the bytes that stay: column, type, making.
+KEPT = {"bytes": ("kept", "binary", pa.binary(), lambda raw: raw),
+        "text": ("kept_text", "string", pa.string(), lambda raw: raw.decode("utf-8", "ignore")),
+        "digest": ("kept_sha256", "string", pa.string(), lambda raw: hashlib.sha256(raw).hexdigest())}
+
+
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-            group_limit: int = GROUP_LIMIT, digest: bool = False) -> DataFrame:
+            group_limit: int = GROUP_LIMIT, kept: str = "bytes") -> DataFrame:
     """``docs`` with its columns, one row per input row; new columns
-    ``n_bytes``, ``n_removed``, ``n_spans`` and either ``kept`` (the bytes
-    that stay) or, with ``digest``, their ``kept_sha256``. Input columns of
-    those names are replaced."""
+    ``n_bytes``, ``n_removed``, ``n_spans`` and, by ``kept``, the bytes that
+    stay (``kept``), their text (``kept_text``, without the pieces of a
+    character that was split) or their SHA-256 (``kept_sha256``). Input
+    columns of those names are replaced."""
+    name, kind, arrow, finish = KEPT[kept]
     d, repeats = keyed(docs, id_col, text_col)
     unique = d.select(F.col(KEY).alias("id"), F.col(TEXT).alias("text"))
     unique = unique.dropDuplicates(["id"]) if repeats else unique
     spans = cut(spans_of(removals(unique, length, group_limit)))
-    new = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint",
-           **({"kept_sha256": "string"} if digest else {"kept": "binary"})}
+    new = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", name: kind}
     keep = [c for c in docs.columns if c not in new]
     joined = d.join(spans.withColumnRenamed("id", KEY), KEY, "left").select(*keep, TEXT, "spans")
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema]
@@ -488,10 +495,9 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 n.append(len(raw))
                 gone.append(sum(y - x for x, y in merged))
                 count.append(len(merged))
-                kept = cut_out(raw, merged)
-                out.append(hashlib.sha256(kept).hexdigest() if digest else kept)
+                out.append(finish(cut_out(raw, merged)))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:len(keep)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()),
-                 pa.array(out, pa.string() if digest else pa.binary())], names=[*keep, *new])
+                 pa.array(out, arrow)], names=[*keep, *new])
 
     return joined.mapInArrow(run, ", ".join([*types, *(f"{k} {v}" for k, v in new.items())]))
