@@ -483,7 +483,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     spans = cut(spans_of(removals(unique, length, group_limit)))
     new = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", name: kind}
     keep = [c for c in docs.columns if c not in new]
-    joined = d.join(spans.withColumnRenamed("id", KEY), KEY, "left").select(*keep, TEXT, "spans")
+    marks = spans.select(F.col("id").alias(KEY), F.col("spans").alias("__spans"))
+    joined = d.join(marks, KEY, "left").select(*keep, TEXT, "__spans")
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema]
 
     def run(batches):
