@@ -6,7 +6,8 @@ near second-person words stand to them, capitals, punctuation, and tokens that
 hide a word (digits or signs for letters, signs between letters, stretched or
 spaced letters). The lexicon is a short fixed list plus words learned from
 the labelled sample: those whose document counts in toxic and other texts
-differ beyond chance (likelihood-ratio statistic).
+differ beyond chance (likelihood-ratio statistic), and word beginnings that
+do so when several words of a text share them, as inflected insults do.
 
 The model is fitted on a bounded sample of labelled rows (``sample`` rows in
 the order of a hash of the id); a fifth of them is held back for the isotonic
@@ -38,6 +39,9 @@ SAMPLE = 20_000
 LEXICON_WORDS = 3000
 #: Likelihood-ratio statistic from which a word enters the lexicon.
 SURE = 30.0
+#: The same for word beginnings, and their lengths.
+SURE_STEM = 20.0
+STEMS = (4, 6)
 NEAR = 5
 
 # Insults and second-person words.
@@ -61,7 +65,7 @@ SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 
 FEATURES = ("hit_density", "weight_density", "variety", "log_hits", "top_weight", "second_person", "near_share",
             "near_density", "capitals", "capital_words", "exclamations", "questions", "punctuation", "hidden",
-            "hidden_hits", "log_words")
+            "hidden_hits", "stem_density", "stem_variety", "log_words")
 
 
 def unhidden(token: str, lexicon: dict[str, float]) -> float:
@@ -76,6 +80,13 @@ def unhidden(token: str, lexicon: dict[str, float]) -> float:
     return 0.0
 
 
+def stems_of(words: set[str]) -> set[str]:
+    """Beginnings (marked by a final hyphen) that two or more of the words
+    share; a word is longer than its beginning."""
+    count = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
+    return {x + "-" for x, c in count.items() if c > 1}
+
+
 def describe(text: str | None, lexicon: dict[str, float]) -> list[float]:
     """The features of one text, in the order of ``FEATURES``."""
     text = text or ""
@@ -91,6 +102,8 @@ def describe(text: str | None, lexicon: dict[str, float]) -> list[float]:
                 hidden.append(w)
                 if x := unhidden(w, lexicon):
                     found.append(x)
+    a, b = STEMS
+    stemmed = [w for w in words if w[:b] + "-" in lexicon or w[:a] + "-" in lexicon]
     persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = 0
     if hits and persons:
@@ -109,7 +122,7 @@ def describe(text: str | None, lexicon: dict[str, float]) -> list[float]:
             max([w for _, w in hits] + found, default=0.0), len(persons) / n, near / max(len(hits), 1), near / n,
             capitals / size, shout / n, int(raw[33]) / n, int(raw[63]) / n,
             int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()) / size,
-            len(hidden) / n, len(found) / n, math.log1p(len(words))]
+            len(hidden) / n, len(found) / n, len(stemmed) / n, len(set(stemmed)) / n, math.log1p(len(words))]
 
 
 def learned_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -120,7 +133,8 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
         for b in batches:
             sides = Counter(), Counter()
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sides[label].update(set(WORD.findall((text or "").lower())))
+                words = set(WORD.findall((text or "").lower()))
+                sides[label].update(words | stems_of(words))
             words = list(sides[0].keys() | sides[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([sides[1][w] for w in words], pa.int64()),
                                               pa.array([sides[0][w] for w in words], pa.int64())], names=["word", "toxic", "other"])
@@ -137,7 +151,8 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
     sure = 2 * (F.col("t") * F.log(F.col("t") / (n * share))
                 + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / (n * (1 - share)))).otherwise(0.0))
     weight = F.log((F.col("t") + 0.5) / n_t) - F.log((F.col("o") + 0.5) / n_o)
-    best = counts.select("word", sure.alias("sure"), weight.alias("weight")).where((F.col("sure") >= SURE) & (F.col("weight") > 1))
+    enough = F.when(F.col("word").endswith("-"), SURE_STEM).otherwise(SURE)
+    best = counts.select("word", sure.alias("sure"), weight.alias("weight")).where((F.col("sure") >= enough) & (F.col("weight") > 1))
     for r in best.orderBy(F.desc("sure"), "word").limit(LEXICON_WORDS).collect():
         lexicon[r["word"]] = float(r["weight"])
     return lexicon
