@@ -13,13 +13,3 @@ from pyspark.sql import functions as F
 def hash_uniform(*parts) -> Column:
     key = F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def seed_key(col, seed: int) -> Column:
-    """``md5(<col>:<seed>)`` ordering key for seeded shuffles and splits."""
-    return F.md5(F.concat_ws(":", F.col(col).cast("string") if isinstance(col, str) else col,
-                             F.lit(str(seed))))
-
-
-def seed_uniform(col, seed: int) -> Column:
-    return hash_uniform(F.col(col).cast("string") if isinstance(col, str) else col, F.lit(str(seed)))

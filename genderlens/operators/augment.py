@@ -4,14 +4,13 @@ expressions with hashed uniforms (no Python per row)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_uniform
 from ..functions.text import ws_words
-from ..session import broadcast_if_small
-from .ranking import rank_with_buckets
+from ..session import sized
+from .ranking import rank_by_order
 
 
 def _u(id_col: str, tag, seed: int) -> Column:
@@ -81,15 +80,12 @@ def augment(df: DataFrame, paraphrases: DataFrame | None, id_col: str = "ID", te
 
 def vocabulary_ids(docs: DataFrame, text: str, first_id: int = 4) -> DataFrame:
     """(word, id): words ranked by corpus frequency (desc), then word; ids
-    start after the special tokens. Buckets of (frequency, 2-char prefix)
-    keep the long tail of rare words spread over many tasks."""
-    # the vocabulary with frequencies is reused by the bucket offsets and the
-    # ranking, so it is computed once (bounded by the number of distinct words)
+    start after the special tokens. Runs jobs: the counted vocabulary is
+    range-partitioned by its order, so the long tail of equally rare words is
+    spread like the rest, and written once."""
     counts = (docs.select(F.explode(ws_words(text)).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    ranked = rank_with_buckets(counts, [-F.col("cnt"), F.substring("word", 1, 2)],
-                               [F.col("cnt").desc(), F.col("word")], "r")
+              .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
+    ranked = rank_by_order(counts, [F.col("cnt").desc(), F.col("word")], "r")
     return ranked.select("word", (F.col("r") + first_id).cast("int").alias("id"))
 
 
@@ -97,9 +93,12 @@ def encode(docs: DataFrame, vocab_ids: DataFrame, id_col: str, text: str, length
            cls_id: int = 2, sep_id: int = 3, unk_id: int = 1) -> DataFrame:
     """Q10: [CLS] + ids of the first length-2 words + [SEP], zero-padded to
     ``length``, with a 1/0 attention mask. Only the words that fit are
-    exploded and joined, so the shuffle is bounded by docs x length."""
+    exploded and joined, so the shuffle is bounded by docs x length. The
+    vocabulary is written once, and the planner broadcasts it only if its
+    files are small enough; beyond that both sides shuffle and AQE splits the
+    frequent words."""
     head = docs.select(id_col, F.posexplode(F.slice(ws_words(text), 1, length - 2)).alias("p", "word"))
-    j = head.join(broadcast_if_small(vocab_ids), "word", "left").select(
+    j = head.join(sized(vocab_ids), "word", "left").select(
         id_col, "p", F.coalesce(F.col("id"), F.lit(unk_id)).alias("id"))
     ids = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("s"))
     allids = docs.select(id_col).join(ids, id_col, "left").select(

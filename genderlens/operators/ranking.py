@@ -4,9 +4,12 @@ A global ``row_number() OVER (ORDER BY k)`` moves every row into one task.
 Here rows are first cut into order-compatible buckets (sorting by bucket and
 then by the key gives the global order). Each bucket is ranked by a window
 partitioned by the bucket, and a bucket's offset is the number of rows in
-all earlier buckets. The offsets table has one row per bucket, so its size
-is bounded by the bucket count and it is safe to broadcast.
-"""
+all earlier buckets. The offsets table has one row per bucket (and group), so
+its size is bounded by the bucket count.
+
+Null keys, buckets and groups are ranked like any other, after all values;
+an empty table gives an empty result. Building the result of
+``rank_by_numeric`` runs one job (quantiles)."""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import broadcast_if_small
+from ..session import broadcast_known, sized
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -22,31 +25,38 @@ def default_buckets(df: DataFrame) -> int:
     return max(8, parts * 4)
 
 
+def _last(c: Column | str) -> Column:
+    """Sort order of a plain column with nulls at the end."""
+    return (F.col(c) if isinstance(c, str) else c).asc_nulls_last()
+
+
 def rank_with_buckets(df: DataFrame, bucket: list[Column | str], order: list[Column | str],
                       out: str = "rank", group: list[str] | None = None,
                       max_buckets: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of each row in ``order``.
+    """Add ``out`` = 0-based position of each row in ``order`` (ascending,
+    nulls last; plain columns).
 
     ``bucket``: columns whose ordering is a coarsening of ``order``.
     ``group``: optional partition columns; ranks restart per group (the
     group columns must lead ``bucket``). ``order`` must be a total order."""
-    group = group or []
-    bcols = [F.col(b) if isinstance(b, str) else b for b in bucket]
-    names = [f"__b{i}" for i in range(len(bcols))]
-    x = df.select("*", *[c.alias(n) for c, n in zip(bcols, names)])
-    gnames = names[:len(group)]
-    w_in = Window.partitionBy(*names).orderBy(*order)
-    x = x.withColumn("__local", F.row_number().over(w_in) - 1)
+    names = [f"__b{i}" for i in range(len(bucket))]
+    x = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(bucket, names)])
+    x = x.withColumn("__local", F.row_number().over(Window.partitionBy(*names).orderBy(*map(_last, order))) - 1)
+    lead = len(group or [])
     counts = x.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    w_off = Window.orderBy(*names[len(group):]).rowsBetween(Window.unboundedPreceding, -1)
-    if gnames:
-        w_off = Window.partitionBy(*gnames).orderBy(*names[len(group):]) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*names, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    offsets = broadcast_if_small(offsets, known_rows=max_buckets)
-    return (x.join(offsets, names)
+    # bounded: one row per bucket of a group
+    w = (Window.partitionBy(*names[:lead]) if lead else Window).orderBy(*map(_last, names[lead:]))
+    before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(n).alias(f"__o{n}") for n in names], F.coalesce(before, F.lit(0)).alias("__off"))
+    if max_buckets is not None:
+        offsets = broadcast_known(offsets, max_buckets)
+    same = None
+    for n in names:
+        c = F.col(n).eqNullSafe(F.col(f"__o{n}"))
+        same = c if same is None else same & c
+    return (x.join(offsets, same)
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("long"))
-            .drop("__local", "__off", *names))
+            .drop("__local", "__off", *names, *[f"__o{n}" for n in names]))
 
 
 def rank_by_uniform(df: DataFrame, u: Column, tie: list[Column | str], out: str = "rank",
@@ -57,31 +67,48 @@ def rank_by_uniform(df: DataFrame, u: Column, tie: list[Column | str], out: str
     b = buckets or default_buckets(df)
     x = df.withColumn("__u", u)
     bucket = [F.col(g) for g in (group or [])] + [F.floor(F.col("__u") * b).cast("int")]
-    order = [F.col("__u")] + [F.col(t) if isinstance(t, str) else t for t in tie]
-    # offsets have one row per (group, bucket): bounded when the caller
-    # knows the group cardinality (e.g. a binary label), else measured
-    nb = b if not group else (b * group_card if group_card else None)
-    return rank_with_buckets(x, bucket, order, out, group, max_buckets=nb).drop("__u")
-
-
-def rank_by_numeric(df: DataFrame, key: str, out: str = "rank", buckets: int | None = None,
-                    rel_err: float = 0.001) -> DataFrame:
-    """Rank by a unique numeric key. Bucket bounds come from approximate
-    quantiles (a bounded list of ``buckets`` numbers, like a range
-    partitioner's sample), so buckets stay balanced for any key layout."""
+    # offsets have one row per (group, bucket), and one more for null keys
+    nb = b + 1 if not group else ((b + 1) * group_card if group_card else None)
+    return rank_with_buckets(x, bucket, [F.col("__u"), *tie], out, group, max_buckets=nb).drop("__u")
+
+
+def rank_by_numeric(df: DataFrame, key: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
+    """Rank by a unique numeric key, null keys last (in no set order among
+    themselves). Bucket bounds come from approximate quantiles (a bounded
+    list of ``buckets`` numbers, like a range partitioner's sample) whose
+    error is a quarter of a bucket, so buckets stay balanced for any key
+    layout and any number of them."""
     from pyspark.ml.feature import Bucketizer
 
     b = buckets or default_buckets(df)
-    probs = [i / b for i in range(1, b)]
-    bounds = sorted(set(df.approxQuantile(key, probs, rel_err)))
-    splits = [float("-inf")] + [float(v) for v in bounds] + [float("inf")]
-    # Bucketizer: binary search over the bounds, JVM-side
-    x = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket").transform(
-        df.withColumn("__key", F.col(key).cast("double")))
-    return rank_with_buckets(x, ["__bucket"], [F.col(key)], out,
-                             max_buckets=len(splits)).drop("__key", "__bucket")
+    bounds = sorted(set(df.approxQuantile(key, [i / b for i in range(1, b)], 1 / (4 * b)))) if b > 1 else []
+    x = df.withColumn("__key", F.col(key).cast("double"))
+    if bounds:  # Bucketizer: binary search over the bounds, JVM-side; null keys get the last bucket
+        x = Bucketizer(splits=[float("-inf"), *map(float, bounds), float("inf")], inputCol="__key",
+                       outputCol="__bucket", handleInvalid="keep").transform(x)
+    else:
+        x = x.withColumn("__bucket", F.lit(0))
+    return rank_with_buckets(x, ["__bucket"], [F.col(key)], out, max_buckets=b + 2).drop("__key", "__bucket")
 
 
 def dense_id(df: DataFrame, order_key: str, out: str = "ID") -> DataFrame:
-    """0..n-1 in row order, where ``order_key`` defines the row order."""
+    """0..n-1 in row order, where ``order_key`` defines the row order;
+    rows without a key come last."""
     return rank_by_numeric(df, order_key, out)
+
+
+def rank_by_order(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """Rank by any total order: one range shuffle into ``default_buckets``
+    partitions (Spark samples the bounds, so a dominant frequency or prefix
+    is split like anything else), a sort inside each, and per-partition
+    offsets from a table of one row per partition. Runs a job; meant for
+    narrow tables."""
+    b = default_buckets(df)
+    laid = df.repartitionByRange(b, *order).sortWithinPartitions(*order)
+    laid = sized(laid.withColumn("__at", F.monotonically_increasing_id()))  # partition number and place in it
+    part = F.shiftright("__at", 33)
+    counts = laid.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = broadcast_known(counts.select("__part", F.coalesce(before, F.lit(0)).alias("__off")), b)
+    rank = F.col("__off") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.withColumn("__part", part).join(offsets, "__part").withColumn(out, rank.cast("long")).drop("__at", "__part", "__off")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name
-from ..session import broadcast_if_small
 from .terms import vocabulary
 
 
@@ -17,8 +16,7 @@ def corpus_vocabulary(docs: DataFrame, text: str) -> DataFrame:
 
 def filter_by_class(vocab: DataFrame, classes: DataFrame, word_col: str = "word") -> DataFrame:
     """Vocabulary words present in a user-supplied word-class table."""
-    return vocab.join(broadcast_if_small(classes.select(F.col(word_col).alias("word")).distinct()),
-                      "word", "left_semi")
+    return vocab.join(classes.select(F.col(word_col).alias("word")), "word", "left_semi")
 
 
 def classify_names(lookup: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -62,6 +62,18 @@ def q_dense_id(spark, sf):
     return dense_id(drop_neutral(r), "doc_id", "ID").select("doc_id", "ID")
 
 
+@register("dense_id_nulls", """SELECT doc_id, n_chars, (row_number() OVER (ORDER BY key NULLS LAST, doc_id) - 1)::BIGINT AS ID
+FROM (SELECT doc_id, n_chars, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS key FROM documents)
+WHERE key IS NOT NULL OR doc_id = (SELECT min(doc_id) FROM documents WHERE doc_id % 5 = 0)""")
+def q_dense_id_nulls(spark, sf):
+    """Keys with a null: it is kept and ranked last."""
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", "n_chars", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("key"))
+    low = d.where(F.col("key").isNull()).agg(F.min("doc_id").alias("low"))
+    one = d.join(F.broadcast(low), d["doc_id"] == low["low"], "left_semi")  # one row of null key
+    return dense_id(d.where(F.col("key").isNotNull()).unionByName(one), "key", "ID").select("doc_id", "n_chars", "ID")
+
+
 @register("danish_date", fx.with_views(
     f"SELECT doc_id, Date AS raw_date, {DATE_PARITY_SQL.format(c='Date')} AS Date FROM reviews",
     "reviews"))

@@ -1,18 +1,18 @@
-"""Session helpers: a tuned local session for tests/bench, checkpoint-dir
-resolution and a size guard for broadcasts."""
+"""Session helpers: a tuned local session for tests/bench, the shared
+checkpoint folder, tables of known size and the spread of under-split scans."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows below which a derived table is broadcast (a checked bound, see
-# ``broadcast_if_small``). Lexicon-sized tables sit far below it.
-BROADCAST_MAX_ROWS = 2_000_000
+# Rows of a table with a static bound (a bucket count, a fixed lexicon) up to
+# which it is broadcast outright: about 10 MB of narrow rows.
+BROADCAST_KNOWN_ROWS = 100_000
 
 # Scratch folders of local sessions without the setting, by application.
 _SCRATCH: dict[str, str] = {}
@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, app: str = "genderlens",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("GENDERLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -57,40 +57,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven under ``max_rows``.
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back (runs a
+    job). The files give the planner the true size in bytes, so a join
+    broadcasts the table exactly if it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise;
+    nothing is computed twice, nothing stays cached on executors, and a lost
+    executor loses nothing."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/sized-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    ``known_rows`` is a static bound (e.g. a fixed lexicon or a bucket
-    count); otherwise one count action measures the table. Beyond the bound
-    the table is returned as is and Spark shuffles both sides."""
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    # measure once and keep what was measured, so the join does not
-    # recompute it (a cached block lost with an executor is recomputed)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
 
+def broadcast_known(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose row count has the static bound ``rows``;
+    above ``BROADCAST_KNOWN_ROWS`` the planner decides."""
+    return F.broadcast(df) if rows <= BROADCAST_KNOWN_ROWS else df
 
-def spread(df: DataFrame, factor: int = 2, input_bytes: int | None = None,
-           bytes_per_task: int = 1 << 20) -> DataFrame:
+
+def spread(df: DataFrame, factor: int = 2, pieces: int = 8) -> DataFrame:
     """Give CPU-heavy per-row work enough tasks.
 
-    A scan with fewer partitions than the cluster has cores (a small table,
-    or one big row group) is redistributed round-robin, to about one task
-    per ``bytes_per_task`` of input and at most ``factor`` x the cores. At
-    scale the input splits far outnumber the cores and this is a no-op (no
-    shuffle); a small table on a big cluster gets a few tasks, not one per
-    core."""
+    A scan with fewer partitions than ``factor`` x the cores (a small table,
+    or one big row group) is redistributed round-robin, into at most
+    ``pieces`` tasks per scan partition. At scale the input splits far
+    outnumber the cores and this is a no-op (no shuffle), whatever the
+    storage."""
     try:
         par = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): keep the scan as is
         return df
-    target = par * factor
-    if input_bytes is not None:
-        target = min(target, max(1, -(-input_bytes // bytes_per_task)))
+    target = min(par * factor, max(1, parts) * pieces)
     return df.repartition(target) if parts < target else df
