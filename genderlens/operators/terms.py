@@ -1,30 +1,25 @@
-"""Gendered-term counting and counterfactual rewrites.
-
-Two execution paths, same results:
-
-* word path (fixed lexicon, no shuffle) - one regex scan per text pulls out
-  the words that contain any lexicon term (a prefix-trie alternation), so
-  per-term work touches only those few words. A word is rewritten by the
-  ordered fold over all terms (cascades included) and the text is rebuilt
-  from its word / non-word runs. Terms and replacements made of word
-  characters never cross a word boundary, so rewriting words is the same
-  as rewriting the whole text (the SQL oracle checks this against chained
-  whole-text ``regexp_replace``).
-* vocabulary path - the lexicon is a DataFrame of any size (e.g. with name
-  lists). Work is done once per distinct word: distinct vocabulary ->
-  substring equi-join with the terms -> per-word fold -> joined back.
-"""
+"""Gendered-term counting and counterfactual rewrites for the fixed lexicon
+(T4-T9, T14), JVM-side and without a shuffle.
+
+One regex scan per text (a prefix-trie alternation of all terms) marks the
+words that contain any lexicon term, so per-term work touches only those few
+words. A word is rewritten by the ordered fold over all terms (cascades
+included) and the text is rebuilt from the marked words and the segments
+between them. Terms and replacements made of word characters never cross a
+word boundary, so rewriting words is the same as rewriting the whole text.
+Where that does not hold (a text with a term of other characters, or with the
+mark itself) the whole text is folded.
+
+Lexicons of any size (name lists) are in ``names``."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import RUNS, W, col_, quote_regex, word_runs
-from ..session import broadcast_if_small
+from ..functions.text import W, col_, quote_regex, word_runs
 
 _WORD_ONLY = re.compile(r"^\w+$")
 
@@ -65,10 +60,6 @@ def neutral_pattern(terms) -> str:
     return "(?:" + "|".join(quote_regex(t) for t in ordered) + f"){W}*"
 
 
-def mask_neutral_text(text, terms) -> Column:
-    return F.regexp_replace(col_(text), neutral_pattern(terms), "")
-
-
 def trie_regex(terms) -> str:
     """Alternation of ``terms`` factored by common prefixes, so testing a
     position costs a few character comparisons instead of one per term."""
@@ -97,9 +88,16 @@ def hit_word_regex(terms) -> str:
     return f"(?<!{W}){W}*?{trie_regex(terms)}{W}*"
 
 
-def hit_words(text, terms) -> Column:
-    """Every occurrence (in order) of a word containing a term."""
-    return F.regexp_extract_all(col_(text), F.lit(hit_word_regex(terms)), 0)
+#: Marks the words that contain a term; cleaned texts hold no control signs.
+MARK = "\u0001"
+
+
+def _with_hits(df: DataFrame, text: str, words) -> DataFrame:
+    """``__parts``: the text cut at its hit words by one regex scan (segments
+    at even, hit words at odd places); ``__hits``: the hit words."""
+    marked = F.regexp_replace(col_(text), f"({hit_word_regex(words)})", f"{MARK}$1{MARK}")
+    return df.withColumn("__parts", F.split(marked, MARK, -1)).withColumn(
+        "__hits", F.filter("__parts", lambda p, i: i % 2 == 1))
 
 
 def _folder(pairs):
@@ -107,30 +105,28 @@ def _folder(pairs):
 
 
 def add_masks(df: DataFrame, text: str, outputs: dict, universe) -> DataFrame:
-    """Word-path rewrites. ``outputs``: column name -> list of (term, repl)
-    pairs for an ordered fold, or the string 'neutral'.
+    """Rewrites. ``outputs``: column name -> list of (term, repl) pairs for
+    an ordered fold, or the string 'neutral'. A null text stays null."""
+    words = [t for t in universe if is_word_term(t)]
+    return _masks(_with_hits(df, text, words), text, outputs, universe).drop("__parts", "__hits")
+
 
-    The text is split at the words that contain a term; only those words
-    are rewritten and the segments between them are copied unchanged.
-    Terms with non-word characters (none survive text cleaning) are applied
-    to the whole text after the word pass."""
+def _masks(x: DataFrame, text: str, outputs: dict, universe) -> DataFrame:
+    other = [t for t in universe if not is_word_term(t)]
     words = [t for t in universe if is_word_term(t)]
-    rx = hit_word_regex(words)
-    x = (df.withColumn("__hits", F.regexp_extract_all(col_(text), F.lit(rx), 0))
-         .withColumn("__segs", F.split(col_(text), rx, -1)))
+    whole = F.instr(col_(text), MARK) > 0
+    for t in other:
+        whole = whole | (F.instr(col_(text), t) > 0)
     for out, spec in outputs.items():
         if spec == "neutral":
-            pat = neutral_pattern(words)
-            word_fn = (lambda p: (lambda w: F.regexp_replace(w, p, "")))(pat)
-            other = [t for t in universe if not is_word_term(t)]
-            tail = (lambda c: F.regexp_replace(c, neutral_pattern(other), "")) if other else (lambda c: c)
+            word_fn = (lambda p: (lambda w: F.regexp_replace(w, p, "")))(neutral_pattern(words))
+            text_fn = (lambda p: (lambda w: F.regexp_replace(w, p, "")))(neutral_pattern(universe))
         else:
-            word_fn = _folder([(t, r) for t, r in spec if is_word_term(t)])
-            tail = _folder([(t, r) for t, r in spec if not is_word_term(t)])
-        pieces = F.transform("__hits", lambda h, i: F.concat(F.element_at("__segs", i + 1), word_fn(h)))
-        rebuilt = F.concat(F.array_join(pieces, ""), F.element_at("__segs", -1))
-        x = x.withColumn(out, tail(F.when(F.size("__hits") > 0, rebuilt).otherwise(col_(text))))
-    return x.drop("__hits", "__segs")
+            word_fn, text_fn = _folder([(t, r) for t, r in spec if is_word_term(t)]), _folder(spec)
+        pieces = F.transform("__parts", lambda p, i: F.when(i % 2 == 1, word_fn(p)).otherwise(p))
+        x = x.withColumn(out, F.when(whole, text_fn(col_(text))).when(F.size("__hits") > 0, F.array_join(pieces, ""))
+                         .otherwise(col_(text)))
+    return x
 
 
 def count_terms_words(hits: Column, text: Column, terms) -> Column:
@@ -171,7 +167,7 @@ def masked_table(docs: DataFrame, text: str, f2m, m2f, universe, pronouns) -> Da
     """Counts (map incl. zeros), totals and the three rewrites per row."""
     words = [t for t in universe if is_word_term(t)]
     prons = F.array(*[F.lit(p) for p in pronouns])
-    x = docs.withColumn("__hits", hit_words(text, words))
+    x = _with_hits(docs, text, words)
     counts, distinct, joined = count_terms_words(F.col("__hits"), col_(text), list(universe))
     x = (x.withColumn("__hw_distinct", distinct).withColumn("__hw_joined", joined)
          .withColumn("__c", counts).drop("__hw_distinct", "__hw_joined"))
@@ -180,9 +176,9 @@ def masked_table(docs: DataFrame, text: str, f2m, m2f, universe, pronouns) -> Da
          .withColumn("count_prons", F.aggregate(
              F.col("__c"), F.lit(0),
              lambda a, e: a + F.when(F.array_contains(prons, e["term"]), e["n"]).otherwise(0)))
-         .drop("__c", "__hits"))
-    return add_masks(x, text, {"text_all_male": f2m, "text_all_female": m2f,
-                               "text_all_neutral": "neutral"}, universe)
+         .drop("__c"))
+    return _masks(x, text, {"text_all_male": f2m, "text_all_female": m2f, "text_all_neutral": "neutral"},
+                  universe).drop("__parts", "__hits")
 
 
 def render_counts(m) -> Column:
@@ -191,156 +187,9 @@ def render_counts(m) -> Column:
     return F.array_join(F.transform(e, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
 
 
-# ------------------------------------------------------------ vocabulary path
+# ----------------------------------------------------------------- vocabulary
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
     """Distinct word runs (deduplicated per document first, then globally
     with a partial aggregation, so hot words cost one row per task)."""
     return (docs.select(F.explode(F.array_distinct(word_runs(text))).alias("word"))
             .distinct())
-
-
-def term_hits(vocab: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term, at): every vocabulary word containing a term, with the
-    1-based position of the term's first occurrence.
-
-    At each position of a word whose first two characters begin some term,
-    the substrings with the term lengths are cut and equi-joined with the
-    terms, so the cost grows with the vocabulary, not vocabulary x terms.
-    The driver only sees the distinct term lengths and two-character term
-    starts (bounded by the alphabet, not by the data)."""
-    t = broadcast_if_small(terms.select(F.col("term").alias("sub")).distinct())
-    stats = t.select(F.length("sub").alias("l"), F.substring("sub", 1, 2).alias("b")).distinct().collect()
-    lengths = sorted({r.l for r in stats})
-    starts = sorted({r.b for r in stats})
-    empty = F.array().cast("array<struct<sub:string,at:int>>")
-    if not lengths:
-        return vocab.select("word", F.lit(None).cast("string").alias("term"),
-                            F.lit(None).cast("int").alias("at")).limit(0)
-    w = F.col("word")
-    n = F.length(w)
-    positions = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    if min(lengths) >= 2:  # keep positions where a term can start
-        positions = F.filter(positions, lambda i: F.substring(w, i, 2).isin(starts))
-    lens = F.array(*[F.lit(L) for L in lengths])
-    subs = F.flatten(F.transform(positions, lambda i: F.transform(
-        F.filter(lens, lambda L: i + L - 1 <= n),
-        lambda L: F.struct(F.substring(w, i, L).alias("sub"), i.alias("at")))))
-    exploded = (vocab.select("word", F.explode(F.when(n > 0, subs).otherwise(empty)).alias("s"))
-                .select("word", "s.sub", "s.at"))
-    return (exploded.join(t, "sub")
-            .groupBy("word", F.col("sub").alias("term")).agg(F.min("at").alias("at")))
-
-
-def doc_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.explode(word_runs(text)).alias("word"))
-
-
-def term_counts(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """T4 long form: (key, term, n) for n > 0.
-
-    Hits are computed on the distinct vocabulary, persisted (recomputable
-    from lineage if an executor is lost) and measured; under the broadcast
-    bound the token stream is joined map-side without a shuffle. Only hit
-    tokens reach the (key, term) aggregation, which combines map-side."""
-    hits_b = broadcast_if_small(term_hits(vocabulary(docs, text), terms).select("word", "term"))
-    return (doc_tokens(docs, key, text).join(hits_b, "word")
-            .groupBy(key, "term").agg(F.count(F.lit(1)).cast("long").alias("n")))
-
-
-def _fold_word(word: Column, rules: Column) -> Column:
-    """Apply an array of (term, pattern, replacement) rules, in order, to a word."""
-    return F.aggregate(rules, word, lambda acc, x: F.when(
-        F.instr(acc, x["term"]) > 0, F.regexp_replace(acc, x["pattern"], x["replacement"])
-    ).otherwise(acc))
-
-
-def word_rewrites(vocab: DataFrame, lexicon: DataFrame, extra=()) -> DataFrame:
-    """(word, new_word) for every vocabulary word hit by a lexicon term.
-
-    A word is folded, in lexicon order, over the lexicon terms it contains
-    plus the literal ``extra`` rules ``(pos, term, repl)`` - pass the whole
-    fixed lexicon (``lexicon.fixed_rules``): a rewrite can create a fixed
-    term at a word junction ("wo" + "kvinde" -> "womand" -> "man"), and a
-    fold over all fixed rules on a short word is cheap. Junction effects
-    that create a data-derived term (e.g. a name) are not followed."""
-    hits = term_hits(vocab, lexicon.select("term")).select("word", "term")
-    lex = broadcast_if_small(lexicon.select("term", "repl", "pos"))
-    rule = F.struct(F.col("pos").cast("long").alias("pos"), "term", "repl")
-    rules = (hits.join(lex, "term").select("word", rule.alias("r"))
-             .groupBy("word").agg(F.collect_list("r").alias("rules")))
-    if extra:
-        lit_rules = F.array(*[F.struct(F.lit(int(p)).cast("long").alias("pos"), F.lit(t).alias("term"),
-                                       F.lit(r).alias("repl")) for p, t, r in extra])
-        rules = rules.withColumn("rules", F.array_union("rules", lit_rules))
-    fold_rules = F.transform(F.array_sort("rules"), lambda r: F.struct(
-        r["term"].alias("term"),
-        F.concat(F.lit("(\\Q"), r["term"], F.lit("\\E)(" + W + "*)")).alias("pattern"),
-        F.concat(F.regexp_replace(r["repl"], r"([\\$])", r"\\$1"), F.lit("$2")).alias("replacement")))
-    return rules.select("word", _fold_word(F.col("word"), fold_rules).alias("new_word"))
-
-
-def rewrite_by_vocabulary(docs: DataFrame, key: str, text: str, rewrites: DataFrame,
-                          out: str) -> DataFrame:
-    """Rebuild each text from its word / non-word runs with words replaced
-    by ``rewrites`` (word, new_word). One shuffle of the runs by ``key``."""
-    runs = docs.select(key, F.posexplode_outer(F.regexp_extract_all(col_(text), F.lit(RUNS), 0))
-                       .alias("p", "tok"))
-    rw = broadcast_if_small(rewrites.select(F.col("word").alias("__k"), "new_word"))
-    # Non-word runs (" ", "\n", ...) never match and are the hottest keys of
-    # all; if the join has to shuffle, give each its own key so they spread.
-    is_word = F.col("tok").rlike(f"^{W}+$")
-    k = F.when(is_word, F.col("tok")).otherwise(
-        F.concat(F.lit("\u0000"), F.col(key).cast("string"), F.lit(":"), F.col("p").cast("string")))
-    joined = runs.withColumn("__k", k).join(rw, "__k", "left").select(
-        key, "p", F.coalesce(F.col("new_word"), F.col("tok")).alias("tok"))
-    return (joined.groupBy(key)
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))),
-                                          lambda s: s["tok"]), "").alias(out)))
-
-
-def _field(c):
-    return lambda e: e["r"][c]
-
-
-def masked_table_vocabulary(docs: DataFrame, key: str, text: str, lex_f2m: DataFrame,
-                            lex_m2f: DataFrame, pronouns, extra_f2m=(), extra_m2f=()) -> DataFrame:
-    """T14 on the vocabulary path, for lexicons of any size (name lists).
-
-    Per distinct hit word: the male and female folds and the neutral form
-    (the word up to its earliest term hit). Per document: term counts from
-    the token x hit join, and the text rebuilt from its runs in one pass
-    for all three rewrites. Shuffles: distinct vocabulary, the (doc, term)
-    count aggregation and one regroup of the runs by document."""
-    universe = lex_f2m.select("term").union(lex_m2f.select("term")).distinct()
-    vocab = vocabulary(docs, text)
-    hits = broadcast_if_small(term_hits(vocab, universe))
-    male = word_rewrites(vocab, lex_f2m, extra_f2m).withColumnRenamed("new_word", "m")
-    female = word_rewrites(vocab, lex_m2f, extra_m2f).withColumnRenamed("new_word", "f")
-    neutral = hits.groupBy("word").agg(F.min("at").alias("at")).select(
-        "word", F.expr("substring(word, 1, at - 1)").alias("n"))
-    table = broadcast_if_small(neutral.join(male, "word", "left").join(female, "word", "left"))
-    runs = docs.select(key, F.posexplode_outer(F.regexp_extract_all(col_(text), F.lit(RUNS), 0))
-                       .alias("p", "tok"))
-    is_word = F.col("tok").rlike(f"^{W}+$")
-    k = F.when(is_word, F.col("tok")).otherwise(
-        F.concat(F.lit("\u0000"), F.col(key).cast("string"), F.lit(":"), F.col("p").cast("string")))
-    j = runs.withColumn("word", k).join(table, "word", "left").select(
-        key, "p", F.struct(
-            F.coalesce("m", "tok").alias("m"),
-            F.coalesce("f", "tok").alias("f"),
-            F.when(F.col("n").isNotNull(), F.col("n")).otherwise(F.col("tok")).alias("n")).alias("r"))
-    texts = (j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "r"))).alias("s"))
-             .select(key, *[F.array_join(F.transform("s", _field(c)), "").alias(out)
-                            for c, out in (("m", "text_all_male"), ("f", "text_all_female"),
-                                           ("n", "text_all_neutral"))]))
-    tok = doc_tokens(docs, key, text).join(hits.select("word", "term"), "word")
-    counts = (tok.groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
-              .groupBy(key).agg(
-                  F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("count_table"),
-                  F.sum("n").cast("int").alias("count_total"),
-                  F.coalesce(F.sum(F.when(F.col("term").isin(*pronouns), F.col("n"))), F.lit(0))
-                  .cast("int").alias("count_prons")))
-    return (texts.join(counts, key, "left")
-            .withColumn("count_table", F.coalesce("count_table", F.create_map().cast("map<string,int>")))
-            .withColumn("count_total", F.coalesce("count_total", F.lit(0)))
-            .withColumn("count_prons", F.coalesce("count_prons", F.lit(0))))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import sentiment
-from ..functions.text import W, clean_text, quote_regex
+from ..functions.text import clean_text
 from ..operators.clean import drop_neutral
 from ..operators.ranking import rank_by_numeric
-from ..operators.terms import add_masks, masked_table, neutral_pattern, render_counts, term_counts
+from ..operators.names import term_counts
+from ..operators.terms import add_masks, masked_table, render_counts
 from ..operators.vocab import name_lists
 from ..sources import fixtures as fx
 from ..sources import lexicon as lx
@@ -87,11 +88,6 @@ def lex_ctes(*directions) -> str:
 UNIVERSE_CTE = "universe AS (SELECT term FROM lex_f2m UNION SELECT term FROM lex_m2f)"
 
 
-def _count_expr(text: str, term_col: str) -> str:
-    # the term followed by the rest of its word (lexicon terms are plain words)
-    return f"len(regexp_extract_all({text}, {term_col} || '{W_SQL}*'))"
-
-
 # ------------------------------------------------------------------- queries
 for _d in ("f2m", "m2f"):
     def _mk(d):
@@ -108,9 +104,16 @@ def q_term_universe(spark, sf):
     return universe(spark, sf)
 
 
+# A match is a term with the rest of its word, so a term without a space is
+# matched once by every word that contains it; only terms of several words
+# need a pattern.
+COUNTS_CTE = f"""cwords AS (SELECT doc_id, text, regexp_extract_all(text, '{W_SQL}+') AS ws FROM cdocs),
+present AS (SELECT doc_id, text, ws, term FROM cwords, universe WHERE contains(text, term)),
+counts AS (SELECT doc_id, term, CASE WHEN contains(term, ' ') OR contains(term, '-')
+                  THEN len(regexp_extract_all(text, term || '{W_SQL}*'))
+                  ELSE len(list_filter(ws, lambda w: contains(w, term))) END::BIGINT AS n FROM present)"""
 TERM_COUNTS_SQL = f"""WITH {lex_ctes('f2m', 'm2f')}, {UNIVERSE_CTE}, {CDOCS_SQL},
-counts AS (SELECT doc_id, term, {_count_expr('text', 'term')}::BIGINT AS n FROM cdocs, universe
-           WHERE contains(text, term))
+{COUNTS_CTE}
 """
 
 
@@ -143,14 +146,18 @@ def q_pronoun_total(spark, sf):
 
 
 def fold_sql(text: str, pairs) -> str:
+    """Chained whole-text replacements (the fixed terms are letters and
+    hyphens, which are literal in a pattern)."""
     expr = text
     for t, r in pairs:
-        expr = f"regexp_replace({expr}, '({_q(quote_regex(t))})({W_SQL}*)', '{_q(r)}\\2', 'g')"
+        expr = f"regexp_replace({expr}, '({_q(t)})({W_SQL}*)', '{_q(r)}\\2', 'g')"
     return expr
 
 
 def neutral_sql(text: str, terms) -> str:
-    return f"regexp_replace({text}, '{_q(neutral_pattern(terms))}', '', 'g')"
+    """One leftmost alternation, longest term first."""
+    ordered = "|".join(sorted({_q(t) for t in terms}, key=lambda t: (-len(t), t)))
+    return f"regexp_replace({text}, '(?:{ordered}){W_SQL}*', '', 'g')"
 
 
 F2M, M2F, UNIVERSE = lx.f2m_pairs(), lx.m2f_pairs(), lx.term_universe()
@@ -178,7 +185,7 @@ def masked_cte() -> str:
     """CTEs ``reviews, base, c, masked`` (masked = T14 columns per review)."""
     terms = sorted(UNIVERSE)
     ns = ", ".join(f"CASE WHEN contains(t, '{_q(x)}') THEN len(regexp_extract_all(t, "
-                   f"'{_q(quote_regex(x))}{W_SQL}*')) ELSE 0 END" for x in terms)
+                   f"'{_q(x)}{W_SQL}*')) ELSE 0 END" for x in terms)
     entries = ", ".join(f"CASE WHEN ns[{i + 1}] > 0 THEN '{_q(x)}=' || ns[{i + 1}] END"
                         for i, x in enumerate(terms))
     prons = " + ".join(f"ns[{terms.index(p) + 1}]" for p in lx.PRONOUNS)

@@ -131,21 +131,49 @@ pred_pairs AS (
 
 # ------------------------------------------------------------------ name lookup
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    k = F.col("c_custkey")
-    return c.select(
-        F.col("c_name").alias("name"),
-        F.when(k % 3 == 0, "male").when(k % 3 == 1, "female").alias("gender"),
-        ((k % 100) / 100.0).cast("double").alias("probability"),
-        k.alias("ord"))
-
-
-NAME_LOOKUP_SQL = """name_lookup AS (
-  SELECT c_name AS name,
-         CASE WHEN c_custkey % 3 = 0 THEN 'male' WHEN c_custkey % 3 = 1 THEN 'female' END AS gender,
-         ((c_custkey % 100) / 100.0)::DOUBLE AS probability,
-         c_custkey AS ord
-  FROM customer)"""
+    """(name, gender, probability, ord): names drawn from the texts by hash, so
+    that documents do contain them: single words, two-word names, names
+    inside other names (the first four letters of a word), and pairs where
+    deleting one inside a word leaves the other."""
+    from ..functions.text import clean_text
+    d = read_table(spark, sf_dir, "documents").select(clean_text("text").alias("t"))
+
+    def drawn(pattern, share):
+        found = F.array_distinct(F.regexp_extract_all(F.col("t"), F.lit(pattern), 0))
+        return d.select(F.explode(F.filter(found, lambda w: F.md5(w) < share)).alias("w")).distinct()
+
+    words = drawn(r"[\p{L}]{5,}", "01").withColumn("k", F.substring(F.md5("w"), 5, 1))
+    inner = words.where("k < '4'").select(F.substring("w", 1, 4).alias("w"))
+    long = words.where("k between '4' and '7' and length(w) >= 9")
+    names = (words.select("w").union(drawn(r"[\p{L}]{3,} [\p{L}]{3,}", "004")).union(inner)
+             .union(long.select(F.substring("w", 3, 5).alias("w")))
+             .union(long.select(F.expr("concat(substring(w, 1, 2), substring(w, 8))").alias("w"))).distinct())
+    h = F.md5("w")
+    return names.select(
+        F.concat(F.lit(" "), F.col("w"), F.lit(". ")).alias("name"),
+        F.when(F.substring(h, 3, 1) < "7", "male").when(F.substring(h, 3, 1) < "e", "female").alias("gender"),
+        (F.lit(0.6) + F.conv(F.substring(h, 4, 1), 16, 10).cast("double") / 40.0).alias("probability"),
+        F.conv(F.substring(h, 5, 12), 16, 10).cast("long").alias("ord"))
+
+
+NAME_LOOKUP_SQL = r"""name_texts AS (
+  SELECT regexp_replace(lower(text), '[^\p{L}\p{N}_\t-\r\x1c-\x1f\x{85}\p{Z}]', '', 'g') AS t FROM documents),
+name_words AS (
+  SELECT DISTINCT w, substr(md5(w), 5, 1) AS k
+  FROM (SELECT unnest(list_distinct(regexp_extract_all(t, '[\p{L}]{5,}'))) AS w FROM name_texts) WHERE md5(w) < '01'),
+name_forms AS (
+  SELECT w FROM name_words
+  UNION SELECT w FROM (SELECT unnest(list_distinct(regexp_extract_all(t, '[\p{L}]{3,} [\p{L}]{3,}'))) AS w FROM name_texts)
+        WHERE md5(w) < '004'
+  UNION SELECT substr(w, 1, 4) FROM name_words WHERE k < '4'
+  UNION SELECT substr(w, 3, 5) FROM name_words WHERE k BETWEEN '4' AND '7' AND length(w) >= 9
+  UNION SELECT substr(w, 1, 2) || substr(w, 8) FROM name_words WHERE k BETWEEN '4' AND '7' AND length(w) >= 9),
+name_lookup AS (
+  SELECT ' ' || w || '. ' AS name,
+         CASE WHEN substr(md5(w), 3, 1) < '7' THEN 'male' WHEN substr(md5(w), 3, 1) < 'e' THEN 'female' END AS gender,
+         0.6::DOUBLE + ('0x' || substr(md5(w), 4, 1))::BIGINT / 40.0::DOUBLE AS probability,
+         ('0x' || substr(md5(w), 5, 12))::BIGINT AS ord
+  FROM name_forms)"""
 
 
 # ------------------------------------------------------------------ paraphrase
@@ -215,10 +243,40 @@ PAGE_REVIEWS_SQL = f"""page_reviews AS (
   FROM pages)"""
 
 
+# ----------------------------------------------------------------- page_nested
+# Pieces of html around the article of a nested page.
+NEST_OPEN = ("<div id=main class='text'><div class=box><p>f&oslash;r &#230;ble&amp;p&aelig;re</p><div><p>to <b>lag</b> inde</p></div></div>"
+             "<p>&Aring;</p>").replace("&Aring;", "&AElig;n &#xF8;")
+NEST_CLOSE = "<div><div><p>slut</div></div></div><!-- text -->"
+
+
+def page_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose text block holds further blocks before, around and after
+    the article; fields with unquoted and single-quoted classes."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pid = F.col("page_id")
+    html = F.replace(F.replace(F.col("html"), F.lit("<article>"), F.lit(NEST_OPEN + "<div>")),
+                     F.lit("</article>"), F.lit("</div>" + NEST_CLOSE))
+    author = F.concat(F.lit("<div class='author x'>S&oslash;ren "), (pid % 13).cast("string"), F.lit("</div>"))
+    published = F.concat(F.lit("<div class=published>"), (F.lit(1) + pid % 28).cast("string"), F.lit(". maj</div>"))
+    rating = F.concat(F.lit("<div class='rating'><span>"),
+                      F.repeat(F.lit("<img src=/img/star-black.png>"), (pid % 7).cast("int")), F.lit("</span></div>"))
+    return p.select("page_id", "url", F.concat(html, author, published, rating).alias("html"))
+
+
+PAGE_NESTED_SQL = f"""page_nested AS (
+  SELECT page_id, url, replace(replace(html, '<article>', '{NEST_OPEN.replace("'", "''")}<div>'),
+                               '</article>', '</div>{NEST_CLOSE}')
+    || '<div class=''author x''>S&oslash;ren ' || (page_id % 13) || '</div>'
+    || '<div class=published>' || (1 + page_id % 28) || '. maj</div>'
+    || '<div class=''rating''><span>' || repeat('<img src=/img/star-black.png>', (page_id % 7)::INTEGER) || '</span></div>' AS html
+  FROM pages)"""
+
+
 VIEWS_SQL = {
     "reviews": REVIEWS_SQL, "sentiment_docs": SENTIMENT_DOCS_SQL, "logit_pairs": LOGIT_PAIRS_SQL,
     "pred_pairs": PRED_PAIRS_SQL, "name_lookup": NAME_LOOKUP_SQL, "paraphrase": PARAPHRASE_SQL,
-    "trials": TRIALS_SQL, "page_reviews": PAGE_REVIEWS_SQL,
+    "trials": TRIALS_SQL, "page_reviews": PAGE_REVIEWS_SQL, "page_nested": PAGE_NESTED_SQL,
 }
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # ---------------------------------------------------------------------------
 # The study's word lists, in their original order.
@@ -126,28 +125,6 @@ def lexicon_frame(spark: SparkSession, direction: str, names: DataFrame | None =
     return merge_lexicon(entries)
 
 
-def fixed_rules(direction: str):
-    """(pos, term, repl) of the fixed part of ``lexicon_frame(direction)``,
-    with the same positions, as literal rules."""
-    first: dict[str, int] = {}
-    last: dict[str, str] = {}
-    for i, (k, v) in enumerate(TERM_PAIRS + PRONOUN_PAIRS):
-        first.setdefault(k, i)
-        last[k] = v
-    fwd = [(first[k], k, last[k]) for k in first]
-    if direction == "f2m":
-        rules, one = fwd, FEMALE_ONLY_TERMS
-    else:
-        pos: dict[str, int] = {}
-        val: dict[str, tuple[int, str]] = {}
-        for p, k, v in fwd:
-            pos[v] = min(pos.get(v, p), p)
-            if v not in val or p >= val[v][0]:
-                val[v] = (p, k)
-        rules, one = [(pos[t], t, val[t][1]) for t in pos], MALE_ONLY_TERMS
-    return sorted(rules) + [(_ONE_SIDED_BASE + i, t, "") for i, t in enumerate(one)]
-
-
 def merge_lexicon(entries: DataFrame) -> DataFrame:
     """Last value wins, first place kept; null/empty terms dropped."""
     return (entries.filter(F.col("term").isNotNull() & (F.col("term") != ""))
@@ -158,9 +135,3 @@ def merge_lexicon(entries: DataFrame) -> DataFrame:
 
 def universe_frame(f2m: DataFrame, m2f: DataFrame) -> DataFrame:
     return f2m.select("term").union(m2f.select("term")).distinct()
-
-
-def dense_order(lex: DataFrame) -> DataFrame:
-    """Replace ``pos`` by its 0-based rank. The lexicon is small (bounded by
-    the name lists), so an ordered window over it is cheap."""
-    return lex.withColumn("pos", (F.row_number().over(Window.orderBy("pos")) - 1).cast("long"))

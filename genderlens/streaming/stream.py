@@ -4,13 +4,12 @@ Cleaning (C1, C2, C4-C6, C8-C11), counting and the three rewrites (T4-T9,
 T14 word path) are stateless per row, so the same column expressions run on
 a ``readStream`` source. ``run_available`` drains what is available
 (``availableNow``) into a parquet sink with its own checkpoint folder under
-the shared ``spark.checkpoint.dir``; a restarted or retried run resumes
-from the checkpoint (exactly-once file sink)."""
+the shared ``spark.checkpoint.dir``; a run restarted under the same name
+resumes from that checkpoint (exactly-once file sink)."""
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +41,11 @@ def masked_stream(docs: DataFrame) -> DataFrame:
 
 def run_available(stream: DataFrame, name: str) -> str:
     """Drain the stream into parquet under the shared checkpoint folder and
-    return the output path."""
+    return the output path. ``name`` identifies the stream: a later call with
+    the same name takes up where the last one stopped and adds to its output.
+    Runs the stream before it returns."""
     spark = stream.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
     q = (stream.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/_checkpoint").outputMode("append")
          .trigger(availableNow=True).start())

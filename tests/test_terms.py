@@ -7,9 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from genderlens.operators.terms import (add_masks, count_terms_words, hit_words, masked_table,
-                                        mask_text, neutral_pattern, rewrite_by_vocabulary,
-                                        term_counts, vocabulary, word_rewrites)
+from genderlens.operators import names as N
+from genderlens.operators.terms import add_masks, mask_text, masked_table, neutral_pattern
 from genderlens.sources import lexicon as lx
 
 F2M, M2F, UNI = lx.f2m_pairs(), lx.m2f_pairs(), lx.term_universe()
@@ -86,30 +85,70 @@ def test_counts_equal_findall(spark):
         assert r.count_prons == sum(exp[p] for p in lx.PRONOUNS)
 
 
-def test_join_path_counts_equal_text_path(spark):
+def test_scan_counts_equal_text_path(spark):
     texts = random_texts(200, seed=3)
     df = spark.createDataFrame(texts, "id int, text string")
     terms = spark.createDataFrame([(t,) for t in UNI], "term string")
-    got = {(r.id, r.term): r.n for r in term_counts(df, "id", "text", terms).collect()}
+    got = {(r.id, r.term): r.n for r in N.term_counts(df, "id", "text", terms).collect()}
     exp = {(i, t): n for i, tx in texts for t, n in py_counts(tx, UNI).items() if n > 0}
     assert got == exp
 
 
-def test_vocabulary_path_equals_python_fold(spark):
+def lexicon_of(spark, pairs):
+    return spark.createDataFrame([(t, r, i) for i, (t, r) in enumerate(pairs)], "term string, repl string, pos long")
+
+
+@pytest.mark.parametrize("pass_terms", [200_000, 7])
+def test_scan_rewrite_equals_python_fold(spark, pass_terms, monkeypatch):
+    monkeypatch.setattr(N, "PASS_TERMS", pass_terms)  # many passes give the same result
     texts = random_texts(150, seed=5)
     df = spark.createDataFrame(texts, "id int, text string")
-    lex = lx.lexicon_frame(spark, "f2m")
-    rw = word_rewrites(vocabulary(df, "text"), lex, extra=lx.fixed_rules("f2m"))
-    out = {r.id: r.t for r in rewrite_by_vocabulary(df, "id", "text", rw, "t").collect()}
-    for i, t in texts:
-        assert out.get(i, t) == py_fold(t, F2M), t
+    got = N.rewrite(df, "text", lexicon_of(spark, F2M[:40]), "t").collect()
+    assert [r.t for r in got] == [py_fold(t, F2M[:40]) for _, t in texts]
+    got = N.neutral(df, "text", N.with_place(lexicon_of(spark, F2M[:40])), "t").collect()
+    assert [r.t for r in got] == [py_neutral(t, [t for t, _ in F2M[:40]]) for _, t in texts]
+
+
+def test_multiword_names_and_cascades(spark):
+    def fold(text, terms):
+        df = spark.createDataFrame([(text,)], "text string")
+        return N.rewrite(df, "text", lexicon_of(spark, terms), "t").first().t
+
+    assert fold("anne marie og karen gik", [("anne marie", ""), ("karen", "")]) == " og  gik"
+    assert fold("iaboda kvindelig", [("kvinde", "mand"), ("abo", ""), ("ida", "")]) == " mandlig"
+    assert fold("xanne marieb anne-lise", [("anne marie", ""), ("xb", "q"), ("anne-lise", "")]) == "q "
+    assert fold("aaa aaaa", [("aa", "a")]) == "aa aaa"
+    names = [("abo", ""), ("ida", ""), ("é na", "x"), ("x", "abo")]
+    rng = random.Random(4)
+    for _ in range(40):
+        text = "".join(rng.choice(["i", "abo", "da", " ", "é na", "x", "b"]) for _ in range(25))
+        assert N.Terms(names).fold(text) == py_fold(text, names), text
+
+
+def test_scan_nulls_empty_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, 5, "c"), (1, "hun", 5, "c"), (1, "", 5, "c")], "id int, text string, n int, count_table string")
+    lex = lexicon_of(spark, [("hun", "han")])
+    m = N.masked_table(df, "text", lex, lexicon_of(spark, [("han", "hun")]), ["hun"]).collect()
+    assert [(r.text_all_male, r.count_total, r.n) for r in m] == [(None, 0, 5), ("han", 1, 5), ("", 0, 5)]
+    assert N.masked_table(df.limit(0), "text", lex, lex, ["hun"]).count() == 0
+    assert N.rewrite(df, "text", lex.limit(0), "t").count() == 3
+
+
+def test_names_hit_the_documents(spark):
+    from genderlens.plans.term_queries import cleaned_docs, names
+    from tests.conftest import SF001
+    lists = [r.name for r in names(spark, SF001).collect()]
+    docs = [r.text for r in cleaned_docs(spark, SF001).collect()]
+    assert any(" " in n for n in lists)
+    assert sum(any(n in d for n in lists) for d in docs) >= 0.2 * len(docs)
 
 
-def test_fixed_rules_match_lexicon_frame(spark):
-    for d in ("f2m", "m2f"):
-        got = sorted((r.pos, r.term, r.repl) for r in lx.lexicon_frame(spark, d).collect())
-        assert got == sorted(lx.fixed_rules(d))
-        assert [t for _, t, _ in sorted(lx.fixed_rules(d))] == [t for t, _ in (F2M if d == "f2m" else M2F)]
+def test_word_path_falls_back_on_other_characters(spark):
+    pairs = [("hun", "han"), ("spider-man", "spider-woman"), ("woman", "man")]
+    texts = [(0, "hun spider-man"), (1, "hun \u0001 hunden"), (2, None), (3, "woman")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = add_masks(df, "text", {"t": pairs}, [t for t, _ in pairs]).collect()
+    assert [r.t for r in got] == [None if t is None else py_fold(t, pairs) for _, t in texts]
 
 
 def test_empty_lexicon_is_identity(spark):
@@ -123,6 +162,10 @@ def test_stream_equals_batch(spark):
     from genderlens.plans.term_queries import cleaned_docs  # noqa: F401
     from genderlens.sources.tables import read_table
     out = run_available(masked_stream(document_stream(spark, SF001)), "test")
+    first = spark.read.parquet(out).count()
+    # a restart under the same name resumes: nothing is read twice
+    assert run_available(masked_stream(document_stream(spark, SF001)), "test") == out
+    assert spark.read.parquet(out).count() == first
     streamed = {r.ID: (r.count_total, r.text_all_male, r.text_all_neutral)
                 for r in spark.read.parquet(out).collect()}
     batch = {r.ID: (r.count_total, r.text_all_male, r.text_all_neutral)
@@ -130,8 +173,7 @@ def test_stream_equals_batch(spark):
     assert streamed == batch and len(batch) > 0
 
 
-def test_masked_table_vocabulary_with_names(spark):
-    from genderlens.operators.terms import masked_table_vocabulary
+def test_masked_table_with_names(spark):
     fem, mal = ["anna", "karen"], ["bo", "mads"]
     names = spark.createDataFrame([(n, "female", i) for i, n in enumerate(fem)]
                                   + [(n, "male", 10 + i) for i, n in enumerate(mal)],
@@ -142,9 +184,8 @@ def test_masked_table_vocabulary_with_names(spark):
         extra = " ".join(rng.choice(fem + mal + ["x"]) for _ in range(rng.randint(0, 4)))
         texts.append((i, t + " " + extra))
     df = spark.createDataFrame(texts, "id int, text string")
-    m = masked_table_vocabulary(df, "id", "text", lx.lexicon_frame(spark, "f2m", names),
-                                lx.lexicon_frame(spark, "m2f", names), lx.PRONOUNS,
-                                lx.fixed_rules("f2m"), lx.fixed_rules("m2f")).collect()
+    m = N.masked_table(df, "text", lx.lexicon_frame(spark, "f2m", names), lx.lexicon_frame(spark, "m2f", names),
+                       lx.PRONOUNS).collect()
     f2m, m2f = lx.f2m_pairs(fem), lx.m2f_pairs(mal)
     uni = lx.term_universe(fem, mal)
     assert len(m) == len(texts)
