@@ -153,12 +153,17 @@ def results_long(metrics: DataFrame, keys: list[str], cols: list[str]) -> DataFr
 
 def prediction_lists(preds: DataFrame, keys: list[str], id_col: str = "ID",
                      chunk: int = 1024) -> DataFrame:
-    """Predictions as stringified lists ordered by ID, in chunks of at
-    most ``chunk`` IDs so no single row (or task) holds an unbounded group."""
+    """Predictions and true labels as stringified lists ordered by ID.
+
+    ``chunk`` is the number of consecutive IDs per row: the published table
+    has one list per model and gender, which no table of unbounded size can
+    hold in one row. With ``chunk`` above the largest ID there is one row
+    per key, as published."""
+    def listed(field):
+        items = F.transform("s", lambda x: F.concat(F.lit("np.int64("), x[field].cast("string"), F.lit(")")))
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
     c = F.floor(F.col(id_col) / chunk).alias("chunk")
     return (preds.groupBy(*keys, c)
-            .agg(F.array_sort(F.collect_list(F.struct(id_col, "pred"))).alias("s"))
-            .select(*keys, "chunk",
-                    F.concat(F.lit("["), F.array_join(F.transform(
-                        "s", lambda x: F.concat(F.lit("np.int64("), x["pred"].cast("string"), F.lit(")"))),
-                        ", "), F.lit("]")).alias("Predictions")))
+            .agg(F.array_sort(F.collect_list(F.struct(id_col, "pred", "label"))).alias("s"))
+            .select(*keys, "chunk", listed("pred").alias("Predictions"), listed("label").alias("True Labels")))

@@ -6,24 +6,32 @@ from pyspark.sql import functions as F
 
 from ..sources import csv as C
 from ..sources import fixtures as fx
-from ..sources.html import ENTITIES, PARA_OPEN, SCRIPT_STYLE, STAR_IMG, TAG, div_pattern, scrape_pages
+from ..sources.html import scrape_pages
 from .clean_queries import CLEAN_REVIEWS_SQL, q_clean_reviews
 from ..operators import analytics as P
 from ..operators import bias as B
-from .metric_queries import BIAS_SUMMARY_SQL, BINARY_SQL, binary_metrics_df
+from .metric_queries import BIAS_SUMMARY_SQL, BINARY_SQL, TRAINING_STATS_SQL, binary_metrics_df, q_training_stats
 from .registry import register
 
 SP_SQL = r"[\s\p{Z}\x0B\x1c-\x1f\x{85}]"
 
 
+# The oracle states the rules of S6 on its own: the fixture's blocks are cut
+# out by what the fixture wrote around them, and references are decoded by a
+# list of those that occur.
+ENTITY_SQL = [("&lt;", "<"), ("&gt;", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;?", chr(160)),
+              ("&copy;?", "©"), ("&middot;?", "·"), ("&aelig;", "æ"), ("&oslash;", "ø"), ("&aring;", "å"), ("&#230;", "æ"),
+              ("&#xF8;", "ø"), ("&AElig;", "Æ"), ("&amp;?", "&")]
+
+
 def _decode_sql(s: str) -> str:
-    for k, v in ENTITIES:
-        s = f"replace({s}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
+    for k, v in ENTITY_SQL:
+        s = f"regexp_replace({s}, '{k}', '{v}', 'g')"
     return s
 
 
 def get_text_sql(frag: str) -> str:
-    nodes = (f"list_transform(regexp_split_to_array({frag}, '{TAG}'), lambda s: "
+    nodes = (f"list_transform(regexp_split_to_array({frag}, '<[^>]*>'), lambda s: "
              f"regexp_replace({_decode_sql('s')}, '^{SP_SQL}+|{SP_SQL}+$', '', 'g'))")
     return f"array_to_string(list_filter({nodes}, lambda s: s <> ''), '')"
 
@@ -33,31 +41,39 @@ def block_sql(h: str, pattern: str) -> str:
 
 
 def paragraphs_sql(frag: str) -> str:
-    pieces = f"regexp_split_to_array({frag}, '{PARA_OPEN}')"
-    paras = f"list_slice({pieces}, 2, len({pieces}))"
-    return (f"array_to_string(list_transform({paras}, lambda p: "
-            f"{get_text_sql(chr(39) * 0 + 'regexp_replace(p, ' + chr(39) + '(?is)</p>.*' + chr(39) + ', ' + chr(39) * 2 + ')')}), ' ')")
-
-
-HTML_SQL = fx.with_views(f"""
-, h AS (SELECT page_id, url, regexp_replace(html, '{SCRIPT_STYLE}', '', 'g') AS h FROM page_reviews),
-b AS (SELECT page_id, url, {block_sql('h', r'(?is)<h1\b[^>]*>(.*?)</h1>')} AS title_b,
-             {block_sql('h', div_pattern('published'))} AS date_b,
-             {block_sql('h', div_pattern('author'))} AS author_b,
-             {block_sql('h', div_pattern('rating'))} AS rating_b,
-             {block_sql('h', div_pattern('text'))} AS text_b FROM h)
+    pieces = f"regexp_split_to_array({frag}, '<[pP](?:{SP_SQL}[^>]*)?>')"
+    return (f"array_to_string(list_transform(list_slice({pieces}, 2, len({pieces})), lambda p: "
+            + get_text_sql("regexp_replace(p, '(?is)</p>.*', '')") + "), ' ')")
+
+
+def html_sql(view: str, inner: str) -> str:
+    """``inner``: what the text block holds, as SQL over ``h``."""
+    return fx.with_views(f"""
 SELECT page_id, {get_text_sql('title_b')} AS Title, url AS URL, {get_text_sql('author_b')} AS Author,
        {get_text_sql('date_b')} AS Date,
-       CASE WHEN rating_b IS NOT NULL THEN len(regexp_extract_all(rating_b, '{STAR_IMG}'))::INTEGER END AS Rating,
+       CASE WHEN rating_b IS NOT NULL THEN len(regexp_extract_all(rating_b, 'star-black'))::INTEGER END AS Rating,
        {paragraphs_sql('text_b')} AS Review
-FROM b""", "page_reviews").replace(")\n\n, h AS", "),\nh AS")
+FROM b""", view, extra=[
+        f"h AS (SELECT page_id, url, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM {view})",
+        f"""b AS (SELECT page_id, url, {block_sql('h', '(?is)<h1[^>]*>(.*?)</h1>')} AS title_b,
+             {block_sql('h', '(?is)<div[^>]*published[^>]*>(.*?)</div>')} AS date_b,
+             {block_sql('h', '(?is)<div[^>]*author[^>]*>(.*?)</div>')} AS author_b,
+             {block_sql('h', '(?is)<div[^>]*rating[^>]*>(.*?)</div>')} AS rating_b,
+             {inner} AS text_b FROM h)"""])
 
 
-@register("html_fields", HTML_SQL)
+@register("html_fields", html_sql("page_reviews", block_sql("h", r'(?is)<div class="text">(.*)</div></article>')))
 def q_html_fields(spark, sf):
     return scrape_pages(fx.page_reviews(spark, sf))
 
 
+@register("html_nested", html_sql("page_nested", block_sql("h", r"(?is)<div id=main class=.text.>(.*)</div><!-- text -->")))
+def q_html_nested(spark, sf):
+    """Text blocks with blocks inside them, character references, and
+    attributes in single quotes or none."""
+    return scrape_pages(fx.page_nested(spark, sf))
+
+
 CLEAN_SCHEMA = ("ID long, doc_id long, Title string, URL string, Author string, Date string, Rating int, "
                 "Sentiment string, Review_cleaned string")
 
@@ -122,3 +138,16 @@ def q_bias_csv_indexed(spark, sf):
     C.write_csv(indexed, path)
     return C.read_csv(spark, path, "`index` long, Model string, Total_Bias double, Abs_Bias double, "
                                    "Effect_Size double")
+
+
+_STATS = [f"{side}_{c}" for side in ("train", "val") for c in ("loss", "accuracy", "f1", "recall", "precision")]
+
+
+@register("training_stats_csv", f"""WITH ts AS ({TRAINING_STATS_SQL})
+SELECT Model, epoch, {', '.join(_STATS)} FROM ts""")
+def q_training_stats_csv(spark, sf):
+    """S3: the training statistics written with the epoch as their leading
+    index, read back with an explicit schema."""
+    path = C.scratch_path(spark, "stats")
+    C.write_csv(q_training_stats(spark, sf).select("epoch", "Model", *_STATS), path)
+    return C.read_csv(spark, path, "epoch long, Model string, " + ", ".join(f"{c} double" for c in _STATS))

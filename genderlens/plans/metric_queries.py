@@ -32,6 +32,14 @@ def q_argmax(spark, sf):
     return M.predict(fx.logit_pairs(spark, sf)).select("ID", "Model", "Gender", "pred")
 
 
+def binary_sql(table: str, keys: str) -> str:
+    """M3 over ``table(keys, pred, label)``."""
+    return f"""SELECT {keys}, round({_ratio('correct', 'n')}, 9) AS Accuracy, round({_ratio('tp', 'pp')}, 9) AS Precision,
+       round({_ratio('tp', 'pos')}, 9) AS Recall, round({_ratio('2 * tp', 'pp + pos')}, 9) AS "F1 Score"
+FROM (SELECT {keys}, count(*) AS n, {_cnt('pred = 1 AND label = 1')} AS tp, {_cnt('pred = 1')} AS pp,
+             {_cnt('label = 1')} AS pos, {_cnt('pred = label')} AS correct FROM {table} GROUP BY {keys})"""
+
+
 BINARY_SQL = fx.with_views(f"""
 SELECT {MODEL_TYPE_SQL} AS Model_type, Gender, Model,
        round({_ratio('correct', 'n')}, 9) AS Accuracy,
@@ -120,13 +128,16 @@ def q_epoch_metrics(spark, sf):
 _STAT_COLS = ["loss", "accuracy", "f1", "recall", "precision"]
 
 
-@register("training_stats", fx.with_views(f"""
+TRAINING_STATS_SQL = fx.with_views(f"""
 SELECT coalesce(t.Model, v.Model) AS Model, coalesce(t.epoch, v.epoch) AS epoch,
        {', '.join(f't.{c} AS train_{c}' for c in _STAT_COLS)},
        {', '.join(f'v.{c} AS val_{c}' for c in _STAT_COLS)}
 FROM ({_epoch_inner('Model', 'ID % 10 < 7')}) t
 FULL JOIN ({_epoch_inner('Model', 'ID % 10 >= 7')}) v ON t.Model = v.Model AND t.epoch = v.epoch""",
-    "logit_pairs"))
+    "logit_pairs")
+
+
+@register("training_stats", TRAINING_STATS_SQL)
 def q_training_stats(spark, sf):
     lp = _lp_epochs(spark, sf)
     train = M.epoch_metrics(lp.filter(F.col("ID") % 10 < 7), ["Model"])
@@ -186,14 +197,20 @@ def q_results_long(spark, sf):
     return M.results_long(binary_metrics_df(spark, sf), ["Model_type", "Gender", "Model"], _METRIC_COLS)
 
 
-PRED_LIST_SQL = fx.with_views("""
-SELECT Model, Gender, ID // 1024 AS chunk,
-       '[' || string_agg('np.int64(' || pred || ')', ', ' ORDER BY ID) || ']' AS Predictions
-FROM pred_pairs GROUP BY Model, Gender, ID // 1024""", "pred_pairs")
+def _pred_list_sql(chunk: int) -> str:
+    return fx.with_views(f"""
+SELECT {MODEL_TYPE_SQL} AS Model_type, Gender, Model, ID // {chunk} AS chunk,
+       '[' || string_agg('np.int64(' || pred || ')', ', ' ORDER BY ID) || ']' AS Predictions,
+       '[' || string_agg('np.int64(' || label || ')', ', ' ORDER BY ID) || ']' AS "True Labels"
+FROM pred_pairs GROUP BY Model, Gender, ID // {chunk}""", "pred_pairs")
+
+
+PRED_LIST_SQL = _pred_list_sql(1024)
 
 
-def pred_lists_df(spark, sf):
-    return M.prediction_lists(fx.pred_pairs(spark, sf), KEYS)
+def pred_lists_df(spark, sf, chunk: int = 1024):
+    lists = M.prediction_lists(fx.pred_pairs(spark, sf), KEYS, chunk=chunk)
+    return lists.select(model_type().alias("Model_type"), "Gender", "Model", "chunk", "Predictions", "True Labels")
 
 
 register("predictions_list", PRED_LIST_SQL)(pred_lists_df)

@@ -1,82 +1,124 @@
-"""Review-page field extraction (S6) with JVM regex functions.
+"""Review-page field extraction.
 
-Scripts and styles are removed first (they may contain tag-like text).
-A field's text follows the "strip every text node and concatenate" rule;
-a paragraph runs from one ``<p ...>`` to the next ``<p`` or ``</p>``;
-paragraphs are joined by one space. A missing block gives null."""
+Fields sit in elements found by tag and class, and an element reaches to its
+own end tag however deep its contents are nested, which regular expressions
+cannot follow; so each page is read once by the standard library's event
+parser inside an Arrow batch. Character references (named and numeric) are
+decoded and attributes may be quoted either way or not at all.
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.text import SPACE, col_
-
-SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-TAG = r"<[^>]*>"
-PARA_OPEN = r"(?i)<p(?:\s[^>]*)?>"
-STAR_IMG = r'(?i)<img\b[^>]*\bsrc="[^"]*star-black\.png[^"]*"'
-# HTML entities decoded in text nodes ('&amp;' last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
-
-
-def div_pattern(cls: str) -> str:
-    return rf'(?is)<div\b[^>]*\bclass="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</div>'
-
-
-def decode_entities(c: Column) -> Column:
-    for k, v in ENTITIES:
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
-
-
-def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-
-
-def get_text(fragment: Column) -> Column:
-    """Strip each text node, drop empty ones, concatenate."""
-    nodes = F.transform(F.split(fragment, TAG), lambda s: strip_ws(decode_entities(s)))
-    return F.array_join(F.filter(nodes, lambda s: s != ""), "")
-
-
-def first_block(html: Column, pattern: str) -> Column:
-    """Inner HTML of the first match of ``pattern`` (group 1), null if none."""
-    return F.when(F.regexp_like(html, F.lit(pattern)), F.regexp_extract(html, pattern, 1))
-
-
-def paragraphs_text(fragment: Column) -> Column:
-    pieces = F.split(fragment, PARA_OPEN)
-    paras = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.array_join(F.transform(paras, lambda p: get_text(F.regexp_replace(p, r"(?is)</p>.*", ""))), " ")
-
-
-def strip_scripts(html) -> Column:
-    return F.regexp_replace(col_(html), SCRIPT_STYLE, "")
+A field's text follows the "strip every text node and concatenate" rule; a
+paragraph runs from one ``<p>`` to the next ``<p>`` or ``</p>``; the
+paragraphs of the text block are joined by one space. A missing block gives
+null, as does a null page. Scripts, styles and comments hold no text."""
 
+from __future__ import annotations
 
-def extract_review_fields(clean_html) -> dict[str, Column]:
-    """Fields from script-free HTML (see ``strip_scripts``)."""
-    h = col_(clean_html)
-    title = first_block(h, r"(?is)<h1\b[^>]*>(.*?)</h1>")
-    rating_div = first_block(h, div_pattern("rating"))
-    text_div = first_block(h, div_pattern("text"))
-    return {
-        "Title": get_text(title),
-        "Date": get_text(first_block(h, div_pattern("published"))),
-        "Author": get_text(first_block(h, div_pattern("author"))),
-        "Rating": F.when(rating_div.isNotNull(), F.size(F.regexp_extract_all(
-            rating_div, F.lit(STAR_IMG), 0))).cast("int"),
-        "Review": paragraphs_text(text_div),
-    }
+from html.parser import HTMLParser
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def scrape_pages(pages, url_col: str = "url", html_col: str = "html"):
-    """Pages -> raw review rows (Title, URL, Author, Date, Rating, Review)."""
-    x = pages.withColumn("__h", strip_scripts(html_col))
-    f = extract_review_fields("__h")
-    keep = [c for c in pages.columns if c not in (html_col, url_col)]
-    return x.select(*keep, f["Title"].alias("Title"), F.col(url_col).alias("URL"),
-                    f["Author"].alias("Author"), f["Date"].alias("Date"), f["Rating"].alias("Rating"),
-                    f["Review"].alias("Review"))
+#: Classes of the blocks of a review page, and its full stars.
+BLOCKS = ("published", "author", "rating", "text")
+STAR = "star-black.png"
+# Elements without an end tag.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class ReviewPage(HTMLParser):
+    """Collects the first ``h1`` and the first ``div`` of each class."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: dict[str, int] = {}  # block -> depth of its tag since it began
+        self.done: set[str] = set()
+        self.parts: dict[str, list[str]] = {}
+        self.stars: int | None = None
+        self.paragraphs: list[list[str]] | None = None
+        self.in_paragraph = False
+        self.silent = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.silent += 1
+        if tag == "h1":
+            self._begin("h1", "h1")
+        if tag == "div":
+            classes = next(((v or "").split() for k, v in attrs if k == "class"), [])
+            for name in BLOCKS:
+                if name in classes:
+                    self._begin(name, "div")
+        for name in self.open:
+            if tag == ("h1" if name == "h1" else "div"):
+                self.open[name] += 1
+        if tag == "img" and "rating" in self.open and any(k == "src" and STAR in (v or "") for k, v in attrs):
+            self.stars += 1
+        if tag == "p" and "text" in self.open:
+            self.in_paragraph = True
+            self.paragraphs.append([])
+
+    def _begin(self, name, tag):
+        if name in self.done or name in self.open:
+            return
+        self.open[name] = 0
+        self.parts[name] = []
+        if name == "rating":
+            self.stars = 0
+        if name == "text":
+            self.paragraphs = []
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.silent = max(0, self.silent - 1)
+        if tag == "p":
+            self.in_paragraph = False
+        for name in [n for n in self.open if tag == ("h1" if n == "h1" else "div")]:
+            self.open[name] -= 1
+            if self.open[name] <= 0:
+                del self.open[name]
+                self.done.add(name)
+                if name == "text":
+                    self.in_paragraph = False
+
+    def handle_data(self, data):
+        text = data.strip()
+        if not text or self.silent:
+            return
+        for name in self.open:
+            self.parts[name].append(text)
+        if self.in_paragraph and "text" in self.open:
+            self.paragraphs[-1].append(text)
+
+    def field(self, name):
+        return "".join(self.parts[name]) if name in self.parts else None
+
+
+def review_fields(page: str | None) -> tuple:
+    """(Title, Date, Author, Rating, Review) of one page."""
+    if page is None:
+        return (None,) * 5
+    r = ReviewPage()
+    r.feed(page)
+    r.close()
+    review = None if r.paragraphs is None else " ".join("".join(p) for p in r.paragraphs)
+    return r.field("h1"), r.field("published"), r.field("author"), r.stars, review
+
+
+def scrape_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Pages -> raw review rows (Title, URL, Author, Date, Rating, Review),
+    with the other columns of ``pages`` (replaced if of those names)."""
+    new = ["Title", "URL", "Author", "Date", "Rating", "Review"]
+    keep = [c for c in pages.columns if c not in (html_col, url_col, *new)]
+
+    def run(batches):
+        for b in batches:
+            rows = [review_fields(p) for p in b.column(len(keep) + 1).to_pylist()]
+            title, date, author, rating, review = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 5
+            made = [pa.array(title, pa.string()), b.column(len(keep)), pa.array(author, pa.string()), pa.array(date, pa.string()),
+                    pa.array(rating, pa.int32()), pa.array(review, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *made], names=[*keep, *new])
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema]
+    made = "Title string, URL string, Author string, Date string, Rating int, Review string"
+    return pages.select(*keep, F.col(url_col), F.col(html_col)).mapInArrow(run, ", ".join([*types, made]))
