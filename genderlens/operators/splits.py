@@ -19,6 +19,9 @@ from ..functions.rand import hash_uniform
 from .ranking import default_buckets, rank_by_uniform
 
 
+MAX_LABELS = 1000
+
+
 def order_key(id_col: str | Column, seed: int) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat_ws(":", c.cast("string"), F.lit(str(seed))))
@@ -106,34 +109,41 @@ def stratified_split(df: DataFrame, label: str, id_col: str = "ID", test_size: f
                      seed: int = 123, buckets: int | None = None) -> DataFrame:
     """Q2: the same per label: test = first ceil(test_size * n_label) rows of
     each label's seeded order. Label sizes are one small aggregation; a
-    dominant label costs no more than the others (no per-label task)."""
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    dominant label costs no more than the others (no per-label task). Runs
+    jobs. The label values come to the driver: at most ``MAX_LABELS`` of
+    them, more is an error (a label is a class, not a key)."""
+    found = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values")
+    sizes = {r[label]: r["n"] for r in found}
     b = _buckets(df, sum(sizes.values()), buckets)
     cuts = _cut_keys(df, id_col, seed, {g: math.ceil(test_size * n) for g, n in sizes.items()}, label, b)
     return _assign(df, id_col, seed, cuts, label)
 
 
+def _by_split(masked: DataFrame, tag: str, train: list, test: list) -> DataFrame:
+    """One pass: each row emits a row per (name, text column) of its split."""
+    def rows(sets):
+        kind = f"array<struct<{tag}:string,text:string>>"
+        return F.array(*[F.struct(F.lit(n).alias(tag), F.col(c).alias("text")) for n, c in sets]).cast(kind)
+
+    chosen = F.when(F.col("split") == "train", rows(train)).when(F.col("split") == "test", rows(test))
+    x = masked.select("ID", "Sentiment", F.explode(chosen).alias("__x"))
+    return x.select("ID", F.col(f"__x.{tag}").alias(tag), F.col("__x.text").alias("text"), "Sentiment")
+
+
 def condition_sets(masked: DataFrame) -> DataFrame:
     """Q3: original / neutral training sets and all-male / all-female test
-    sets as one long table (condition, ID, text, Sentiment)."""
-    tr, te = F.col("split") == "train", F.col("split") == "test"
-    parts = [("original_train", tr, "Review_cleaned"), ("neutral_train", tr, "text_all_neutral"),
-             ("all_male_test", te, "text_all_male"), ("all_female_test", te, "text_all_female")]
-    out = None
-    for name, cond, col in parts:
-        p = masked.filter(cond).select(F.lit(name).alias("condition"), "ID",
-                                       F.col(col).alias("text"), "Sentiment")
-        out = p if out is None else out.unionByName(p)
-    return out
+    sets as one long table (condition, ID, text, Sentiment), from one scan."""
+    return _by_split(masked, "condition", [("original_train", "Review_cleaned"), ("neutral_train", "text_all_neutral")],
+                     [("all_male_test", "text_all_male"), ("all_female_test", "text_all_female")]).select(
+                         "condition", "ID", "text", "Sentiment")
 
 
 def mix_set(masked: DataFrame) -> DataFrame:
     """Q4: male and female rewrites of the same training rows (IDs repeat;
-    ``variant`` tells them apart)."""
-    tr = masked.filter(F.col("split") == "train")
-    return (tr.select("ID", F.lit("male").alias("variant"), F.col("text_all_male").alias("text"), "Sentiment")
-            .unionByName(tr.select("ID", F.lit("female").alias("variant"),
-                                   F.col("text_all_female").alias("text"), "Sentiment")))
+    ``variant`` tells them apart), from one scan."""
+    return _by_split(masked, "variant", [("male", "text_all_male"), ("female", "text_all_female")], [])
 
 
 def head_subset(df: DataFrame, id_col: str = "ID", k: int = 250, seed: int = 123) -> DataFrame:

@@ -153,8 +153,12 @@ aug AS (
   UNION ALL SELECT b.ID, 'swap', sw.stext, b.label FROM b JOIN sw ON b.ID = sw.ID)"""
 
 
+def augmented_from(spark, sf, rows):
+    return A.augment(rows, fx.paraphrase(spark, sf), "ID", "text", "label")
+
+
 def augmented(spark, sf):
-    return A.augment(labelled_clean(spark, sf), fx.paraphrase(spark, sf), "ID", "text", "label")
+    return augmented_from(spark, sf, labelled_clean(spark, sf))
 
 
 @register("augment", f"WITH {AUG_SQL}\nSELECT ID, kind, text, label FROM aug")
