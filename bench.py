@@ -17,6 +17,7 @@ from genderlens.plans import queries  # noqa: E402
 from genderlens.session import get_spark  # noqa: E402
 
 HEADLINE = [
+    "masked_table_names", "dense_id", "random_swap", "stream_masked", "train_conditions",
     "clean_reviews", "masked_table", "term_counts", "mask_neutral", "split_70_30",
     "condition_sets", "augment", "encode_fixed", "vocabulary", "html_fields",
     "binary_metrics", "epoch_metrics", "bias_summary", "rating_kde", "early_stop",
