@@ -50,34 +50,30 @@ GRAM = 24
 #: Multikey quicksort depth in bytes before blind tries take over.
 SHALLOW = 16
 #: Contexts of one anchor that are sorted in one task.
-GROUP_LIMIT = 20_000
-_MULT = 0x9E3779B97F4A7C15
+GROUP_LIMIT = 4_000
+#: Bytes of text worked on at a time, so that arrays stay in the cache.
+CHUNK = 1 << 17
+_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)
 
 
 # ---- 1. anchors ---------------------------------------------------------
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each ``gram``-byte string of ``data`` by doubling:
-    hash(2 n bytes) from two hashes of n bytes."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    size, result, done = 1, None, 0
-    left = gram
-    while left:
-        if left & 1:
-            if result is None:
-                result = h
-            else:
-                n = min(result.size, h.size - done)
-                result = result[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + h[done:done + n]
-            done += size
-        left >>= 1
-        if left:
-            h = h[:-size] * np.uint64(_MULT) + h[size:] if h.size > size else h[:0]
-            h ^= h >> np.uint64(29)
-            size *= 2
-    result = result[:max(0, data.size - gram + 1)]
-    result = result * np.uint64(_MULT)
-    return result ^ (result >> np.uint64(32))
+    """A 64-bit hash of each ``gram``-byte string of ``data``; ``gram`` is a
+    multiple of 8, as the bytes are read in words of 8."""
+    n = data.size - gram + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    words = np.empty(data.size - 7, np.uint64)
+    for r in range(min(8, words.size)):
+        words[r::8] = data[r:r + (data.size - r) // 8 * 8].view("<u8")
+    h = words[:n] * np.uint64(_MULT[0])
+    for k in range(8, gram, 8):
+        h += words[k:k + n] * np.uint64(_MULT[k // 8])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -87,43 +83,33 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     empty = np.zeros(0, np.int64)
     if data.size < length:
         return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    h = gram_hashes(data, gram)
+    h = gram_hashes(np.ascontiguousarray(data), gram)
     span = length - gram + 1
-    # the smallest of each ``span`` neighbours: hash in the high bits, then
-    # the place within two blocks, so that the leftmost of equals wins
-    place = np.uint64(2 * span - 1)
-    bits = np.uint64(int(2 * span).bit_length())
     n = h.size - span + 1
-    key = (h >> bits << bits)
+    # the smallest of each ``span`` neighbours, as the smaller of a block's
+    # tail and the next block's head; the low bits hold the position, so the
+    # leftmost of equal hashes wins
+    bits = 32
+    key = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(h.size, dtype=np.uint64)
     pad = -h.size % span
     blocks = np.concatenate((key, np.full(pad, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, span)
-    spot = np.arange(span, dtype=np.uint64)
-    blocks = np.minimum(blocks, ~np.uint64(0) - place) | spot  # place in its block
-    pre = np.minimum.accumulate(blocks, axis=1).ravel()
-    suf = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    w = np.arange(n)
-    a, b = suf[:n], pre[span - 1:span - 1 + n]
-    block_a = w // span
-    block_b = (w + span - 1) // span
-    use_a = (a >> bits << bits) <= (b >> bits << bits)
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    at = np.where(use_a, block_a * span + (a & low).astype(np.int64), block_b * span + (b & low).astype(np.int64))
-    # windows that lie in one document
-    sizes = np.diff(bounds)
-    good = np.zeros(n, bool)
-    doc_of = np.empty(n, np.int64)
-    for d in np.flatnonzero(sizes >= length).tolist():
-        s, e = int(bounds[d]), int(bounds[d + 1]) - length + 1
-        good[s:e] = True
-        doc_of[s:e] = d
-    w = np.flatnonzero(good)
-    if not w.size:
-        return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    at, doc = at[w], doc_of[w]
-    new = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:] - 1, [w.size - 1]))
-    return doc[first], at[first], w[first], w[last], h[at[first]]
+    head = np.minimum.accumulate(blocks, axis=1).ravel()
+    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    best = np.minimum(tail[:n], head[span - 1:span - 1 + n])
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(best[1:], best[:-1], out=new[1:])
+    # runs begin anew with each document and end with its last window
+    after = bounds[1:] - length + 1
+    new[bounds[:-1][bounds[:-1] < n]] = True
+    new[after[(after >= 0) & (after < n)]] = True
+    lo = np.flatnonzero(new)
+    hi = np.concatenate((lo[1:] - 1, [n - 1]))
+    doc = np.searchsorted(bounds, lo, side="right") - 1
+    inside = lo < after[doc]
+    lo, hi, doc = lo[inside], hi[inside], doc[inside]
+    at = (best[lo] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return doc, at, lo, hi, h[at]
 
 
 # ---- 3. deep-shallow sorting ----------------------------------------------
@@ -307,40 +293,49 @@ def anchor_hashes(docs: DataFrame, length: int) -> DataFrame:
     """``(h)``: the anchor hashes of ``docs(id, text)``, with repeats."""
     def run(batches):
         for b in batches:
-            for _, data, bounds in utf8_chunks(b.column(1)):
+            for _, data, bounds in utf8_chunks(b.column(1), CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array(anchors(data, bounds, length)[4].view(np.int64))], names=["h"])
 
     return docs.select("id", "text").mapInArrow(run, "h bigint")
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``(h, c, id, at, lo, hi)`` for ``docs(id, text)``: anchor hash, hash
-    of its context, document, anchor start, first and last window start."""
+    """``(h, c, id, spot)`` for ``docs(id, text)``: anchor hash, hash of its
+    context, document and the packed place (see ``place``)."""
     def run(batches):
         for b in batches:
-            for row, data, bounds in utf8_chunks(b.column(1)):
+            for row, data, bounds in utf8_chunks(b.column(1), CHUNK):
                 doc, at, lo, hi, h = anchors(data, bounds, length)
                 raw = data.tobytes()
                 context = xxhash.xxh64_intdigest
                 c = np.array([context(raw[x:y], z) for x, y, z in zip(lo.tolist(), (hi + length).tolist(), (at - lo).tolist(),
                                                                        strict=True)], dtype=np.uint64)
-                base = bounds[doc]
+                spot = ((at - bounds[doc]) << 20) | ((at - lo) << 10) | (at - hi)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(doc + row)),
-                     pa.array((at - base).astype(np.int32)), pa.array((lo - base).astype(np.int32)),
-                     pa.array((hi - base).astype(np.int32))], names=["h", "c", "id", "at", "lo", "hi"])
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(doc + row)), pa.array(spot)],
+                    names=["h", "c", "id", "spot"])
+
+    return docs.select("id", "text").mapInArrow(run, "h bigint, c bigint, id bigint, spot bigint")
 
-    return docs.select("id", "text").mapInArrow(run, "h bigint, c bigint, id bigint, at int, lo int, hi int")
+
+def place(spot) -> tuple:
+    """Columns ``(at, lo, hi)`` of a packed place: anchor start, first and
+    last window start. Places of one document order by anchor start."""
+    at = F.shiftright(spot, 20)
+    return (at.cast("int").alias("at"), (at - F.shiftright(spot, 10).bitwiseAND(F.lit(1023))).cast("int").alias("lo"),
+            (at - spot.bitwiseAND(F.lit(1023))).cast("int").alias("hi"))
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Context bytes of ``wanted(h, c, id, at, lo, hi)`` occurrences."""
-    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("h", "c", "at", "lo", "hi")).alias("asked"))
-    joined = docs.join(asked, "id").select("id", "asked", F.encode("text", "utf-8").alias("raw"))
-    cuts = F.transform("asked", lambda x: F.struct(
-        x.h.alias("h"), x["at"].alias("at"), x.lo.alias("lo"), x.hi.alias("hi"),
-        F.substring(F.col("raw"), x.lo + 1, x.hi - x.lo + length).alias("bytes")))
-    return joined.select("id", cuts.alias("cuts")).select("id", F.inline("cuts"))
+    """``(id, h, at, lo, hi, bytes)`` of ``wanted(h, id, spot)``."""
+    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("h", "spot")).alias("asked"))
+    joined = docs.select("id", F.encode("text", "utf-8").alias("raw")).join(asked, "id")
+
+    def cut_bytes(x):
+        at, lo, hi = place(x.spot)
+        return F.struct(x.h.alias("h"), at, lo, hi, F.substring(F.col("raw"), lo + 1, hi - lo + length).alias("bytes"))
+
+    return joined.select("id", F.transform("asked", cut_bytes).alias("cuts")).select("id", F.inline("cuts"))
 
 
 def sorted_later(found: DataFrame, length: int) -> DataFrame:
@@ -423,14 +418,15 @@ def removals(d: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT)
     shared folder."""
     repeated = cut(anchor_hashes(d, length).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     some = cut(anchor_rows(d, length).join(repeated, "h"))
-    merged = cut(some.groupBy("h", "c").agg(F.min(F.struct("id", "at", "lo", "hi")).alias("first"), F.count("*").alias("n")))
+    merged = cut(some.groupBy("h", "c").agg(F.min(F.struct("id", "spot")).alias("first"), F.count("*").alias("n")))
     kinds = cut(merged.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    several = merged.join(kinds, "h").select("h", "c", "first.*")
+    several = merged.join(kinds, "h").select("h", "first.*")
     found = cut(contexts(d, several, length))
     # later copies of a whole context, by joining back its earliest occurrence
     copies = some.join(cut(merged.where("n > 1").select("h", "c", "first")), ["h", "c"])
-    whole = copies.where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at"))).select(
-        "id", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    _, lo, hi = place(F.col("spot"))
+    whole = copies.where((F.col("id") != F.col("first.id")) | (F.col("spot") != F.col("first.spot"))).select(
+        "id", lo.alias("start"), (hi + length).alias("stop"))
     large = cut(kinds.where(F.col("kinds") > group_limit).select("h"))
     if large.isEmpty():
         return whole.unionByName(sorted_later(found, length))
