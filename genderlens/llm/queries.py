@@ -1,9 +1,9 @@
 """The registered queries of this subpackage and their oracle SQL.
 
 Each query applies its operator with production parameters to its whole
-table. SQL can express the URL filter; the others are trained, suffix-sorted,
-hashed or packed and are tested against brute force or held-out labels in
-``tests/llm``."""
+table. SQL can express the URL filter, the repeated strings and the brute force
+that the embedding search is held to; the others are trained, hashed or packed
+and are tested against brute force or held-out labels in ``tests/llm``."""
 
 from __future__ import annotations
 
@@ -142,4 +142,39 @@ select page_id, host, path, rule,
 from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URL_SQL}
+# Every 100-byte string of a text, with the first place where it starts.
+_REPEATS_SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as h from documents),
+w as (select doc_id, unnest(range(1, octet_length(h) - 98)) as s, h from d),
+g as (select doc_id, s, array_slice(h, s, s + 99) as x from w),
+f as (select x, min((doc_id, s)) as first, count(*) as n from g group by x having count(*) > 1),
+later as (select g.doc_id, g.s from g join f on f.x = g.x where (g.doc_id, g.s) <> f.first),
+edge as (select doc_id, s, s - lag(s) over (partition by doc_id order by s) as gap from later),
+run as (select doc_id, s, sum(case when gap is null or gap > 100 then 1 else 0 end) over (partition by doc_id order by s) as r from edge),
+span as (select doc_id, r, min(s) as a, max(s) + 100 as z from run group by doc_id, r),
+kept as (
+  select d.doc_id, coalesce(lag(z) over (partition by d.doc_id order by a), 1) as p, a as q, false as tail from d join span on span.doc_id = d.doc_id
+  union all select d.doc_id, coalesce(m.z, 1), octet_length(h) + 1, true from d left join (select doc_id, max(z) as z from span group by doc_id) m on m.doc_id = d.doc_id),
+text as (select k.doc_id, string_agg(hex(array_slice(h, p, q - 1)), '' order by p, tail) as x
+         from kept k join d on d.doc_id = k.doc_id group by k.doc_id),
+gone as (select doc_id, sum(z - a) as n, count(*) as k from span group by doc_id)
+select d.doc_id, octet_length(h)::bigint as n_bytes, coalesce(gone.n, 0)::bigint as n_removed, coalesce(gone.k, 0)::bigint as n_spans,
+       sha256(unhex(text.x)) as kept_sha256
+from d join text on text.doc_id = d.doc_id left join gone on gone.doc_id = d.doc_id
+"""
+
+# All pairs by cosine; a label travels along links from smaller ids.
+_EMBED_SQL = r"""
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+half as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id and len(a.e) = len(b.e)
+         where list_cosine_similarity(a.e, b.e) >= 0.9),
+link as (select a, b from half union all select b, a from half),
+r(vec_id, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join link l on l.a = r.vec_id where r.c < l.b)
+select e.vec_id, (select count(*) from link where link.a = e.vec_id)::bigint as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e join (select vec_id, min(c) as c from r group by vec_id) m on m.vec_id = e.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op4_suffix_dedup": _REPEATS_SQL, "op9_embed_dedup": _EMBED_SQL}
