@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
