@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 # which it is broadcast outright: about 10 MB of narrow rows.
 BROADCAST_KNOWN_ROWS = 100_000
 
+# Applications whose workers have been sent the package.
+_SHIPPED: set[str] = set()
+
 # Scratch folders of local sessions without the setting, by application.
 _SCRATCH: dict[str, str] = {}
 
@@ -37,9 +41,30 @@ def get_spark(master: str | None = None, app: str = "genderlens",
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: functions that run in tasks
+    refer to it by name. Spark sends it to the executors as a zip (once per
+    application) unless ``PYTHONPATH`` already names its folder."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="genderlens-zip-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -6,6 +6,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from genderlens.session import ship_package  # noqa: E402
+
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
 
@@ -21,4 +23,5 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gl-test-ckpt-", dir="/tmp"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
