@@ -92,9 +92,19 @@ def rank_by_numeric(df: DataFrame, key: str, out: str = "rank", buckets: int | N
 
 
 def dense_id(df: DataFrame, order_key: str, out: str = "ID") -> DataFrame:
-    """0..n-1 in row order, where ``order_key`` defines the row order;
-    rows without a key come last."""
-    return rank_by_numeric(df, order_key, out)
+    """0..n-1 in row order, where the unique ``order_key`` defines the row
+    order; rows without a key come last.
+
+    Only the key column is ranked (and written once, so Spark knows its
+    size); the ids are joined back, so wide rows move only if the table of
+    ids is too large to broadcast. Runs jobs."""
+    if df.columns == [order_key]:
+        return rank_by_numeric(df, order_key, out)
+    known = df.where(F.col(order_key).isNotNull())
+    ids = sized(rank_by_numeric(known.select(order_key), order_key, out))
+    last = rank_by_numeric(df.where(F.col(order_key).isNull()), order_key, out)
+    last = last.withColumn(out, F.col(out) + F.lit(ids.count()))
+    return known.join(ids, order_key).select(*df.columns, out).unionByName(last)
 
 
 def rank_by_order(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:

@@ -44,10 +44,17 @@ def test_split_does_not_shuffle_rows(spark):
 
 
 def test_dense_id_ranks_per_bucket(spark):
-    p = plan_of(entry.queries()["dense_id"](spark, SF))
+    from genderlens.operators.ranking import rank_by_numeric
+    p = plan_of(rank_by_numeric(spark.range(1000), "id"))
     assert "__b0" in p and "Window" in p
 
 
+def test_dense_id_does_not_rank_texts(spark):
+    # the window over the data reads the key alone; texts only meet the ids in a join
+    p = plan_of(entry.queries()["clean_reviews"](spark, SF))
+    assert "BroadcastHashJoin" in p and "hashpartitioning(__b0" not in p.split("IsNull")[0]
+
+
 ORACLE_SUBSET = ["clean_author", "sentiment_bucket", "dense_id", "danish_date", "clean_text", "lexicon_f2m",
                  "term_universe", "mask_male", "mask_neutral", "binary_metrics", "bias_summary",
                  "split_70_30", "split_stratified", "random_swap", "encode_fixed", "rating_kde", "html_fields",
