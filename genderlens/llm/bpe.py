@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Fixed value: the pre-token pattern of byte-level BPE files with
 #: ``use_regex``.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     and the text decoded from them. Nothing is shuffled."""
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in small(batches, 1):
             for at, ids, texts in _encoded(c, b.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(ids)), pa.array(ids, pa.string()), pa.array(texts, pa.string()),
@@ -267,7 +269,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` per row."""
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in small(batches, 1):
             for at, ids, texts in _encoded(c, b.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(ids)), pa.array(map(count, ids), pa.int64()),

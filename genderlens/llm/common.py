@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import sized as cut
+
+__all__ = ["components", "crc_rest", "cut", "range_buckets", "small", "table", "utf8_chunks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it
-    back: cuts lineage, survives lost executors and lets later joins plan
-    with true sizes. Runs a job."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_rest(id_col: str, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``. A null id counts
     as the empty text (crc32 0)."""
@@ -54,6 +45,29 @@ def utf8_chunks(column: pa.Array, limit: int = 1 << 21):
         at = end
 
 
+def small(batches, column: int, limit: int = 1 << 22):
+    """Cut record batches so that a text column holds about ``limit`` bytes
+    each (one row at least): a batch has a bound on its rows only, and as
+    Python objects long texts would take a worker's memory."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        step = max(1, b.num_rows * limit // max(b.column(column).nbytes, 1))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def range_buckets(df: DataFrame, key: str, bounds: list[float], out: str) -> DataFrame:
+    """``df`` with ``out`` (int) = how many of the ascending ``bounds`` are at
+    most ``key``, found by binary search; ``len(bounds) + 1`` for null."""
+    if not bounds:
+        return df.withColumn(out, F.when(F.col(key).isNull(), 1).otherwise(0))
+    x = df.withColumn("__key", F.col(key).cast("double"))
+    x = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__key", outputCol="__at", handleInvalid="keep").transform(x)
+    return x.withColumn(out, F.col("__at").cast("int")).drop("__key", "__at")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` (bigint nodes).
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, range_buckets
 
 PROJECTIONS = 16
 BLOCK = 4096
@@ -194,9 +194,7 @@ def _links(vectors: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, Data
     meet = [(i, j) for i in range(len(low)) for j in range(i, len(low)) if low[j] - high[i] <= reach]
     tasks = spark.createDataFrame([(b, t, side) for t, (i, j) in enumerate(meet) for side, b in enumerate((i, j)) if side == 0 or i != j],
                                   "block int, task int, side int")
-    spots = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else None
-    block = F.size(F.filter(spots, lambda x: x < F.col("line"))) if bounds else F.lit(0)
-    dealt = laid.withColumn("block", block.cast("int")).join(tasks, "block").select("task", "side", "node", "mult", "v")
+    dealt = range_buckets(laid, "line", bounds, "block").join(tasks, "block").select("task", "side", "node", "mult", "v")
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 SAMPLE = 300
 LAYOUTS = 4
 
@@ -395,7 +397,7 @@ def extracted(pages: DataFrame, chain: Chain, html_col: str = "html", out: str =
 
     def run(batches):
         memo: dict = {}
-        for b in batches:
+        for b in small(batches, len(keep)):
             if len(memo) > 20_000:
                 memo = {}
             texts = [extract(shared.value, p, memo) for p in b.column(len(keep)).to_pylist()]

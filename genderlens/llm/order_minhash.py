@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import range_buckets, small
+
 
 K = 8
 BINS = 64
@@ -127,7 +129,7 @@ def hex_of(sig: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """``(id, fingerprint)`` per row; nothing is shuffled."""
     def run(batches):
-        for b in batches:
+        for b in small(batches, 1):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([hex_of(signature(codes_of(t), k)) for t in b.column(1).to_pylist()], pa.string())],
                 names=["id", "fingerprint"])
@@ -144,12 +146,9 @@ def in_succession(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, min(-(-d.select("id").count() // rows_per_bucket), 50_000))
-    bounds = sorted({int(x) for x in d.select("id").approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
-    last = len(bounds)
-    spots = F.array(*[F.lit(x).cast("bigint") for x in bounds]) if bounds else None
-    # ids up to the first bound are in the last bucket; null ids go there too
-    below = F.size(F.filter(spots, lambda x: x < F.col("id"))) if bounds else F.lit(0)
-    dealt = d.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(last + 1)).otherwise(F.lit(last) - below).cast("int"))
+    bounds = sorted(set(d.select("id").approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    up = range_buckets(d, "id", bounds, "bucket")  # null ids come last, after the smallest ids
+    dealt = up.withColumn("bucket", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(len(bounds) - F.col("bucket")))
     # one row per bucket: its first document's (id, text digest)
     heads = dealt.groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
     if not heads:
@@ -169,7 +168,7 @@ def successor_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint to both (see the module's contract)."""
     def run(batches):
         ahead = None  # (bucket, id, text, codes, signature, guest) that waits for its successor
-        for b in batches:
+        for b in small(batches, 2):
             out = []
             for bucket, i, text, guest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 codes = codes_of(text)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id bigint, fp bigint)``, one row per input row; ``fp`` holds the
     64 bits as a signed number."""
     def run(batches):
-        for b in batches:
+        for b in small(batches, 1):
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 

@@ -9,8 +9,9 @@ earlier (smaller document id, or same document, earlier start).
    anchor have to be compared. The windows of one anchor occurrence are a
    run; its context is the bytes that the run covers.
 2. Copies. Occurrences are counted per anchor with partial aggregation; an
-   anchor that occurs once is done. Contexts of equal bytes are merged into
-   their earliest occurrence, so a group of copies costs one row.
+   anchor that occurs once is done. What repeats within a document is settled
+   where the document is read. Contexts of equal bytes are merged into their
+   earliest occurrence, so a group of copies costs one row.
 3. Sorting. Anchors with several different contexts remain. The suffixes that
    start at the anchor, and the reversed prefixes that end at it, are sorted:
    multikey quicksort on 8-byte characters to a shallow depth, then a blind
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8_chunks
+from .common import cut, small, utf8_chunks
 
 LENGTH = 100
 GRAM = 24
@@ -300,22 +301,55 @@ def anchor_hashes(docs: DataFrame, length: int) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``(h, c, id, spot)`` for ``docs(id, text)``: anchor hash, hash of its
-    context, document and the packed place (see ``place``)."""
+    """``(h, c, id, spot, again)`` for ``docs(id, text)``: anchor hash, hash
+    of its context, document and the packed place (see ``place``), once per
+    document and context. What repeats within a document (a line over and
+    over) is later than its first occurrence for certain: it comes as merged
+    byte ranges, rows with ``again``, whose ``spot`` and ``c`` are start and
+    stop and whose ``h`` only spreads them."""
     def run(batches):
+        context = xxhash.xxh64_intdigest
         for b in batches:
             for row, data, bounds in utf8_chunks(b.column(1), CHUNK):
                 doc, at, lo, hi, h = anchors(data, bounds, length)
                 raw = data.tobytes()
-                context = xxhash.xxh64_intdigest
                 c = np.array([context(raw[x:y], z) for x, y, z in zip(lo.tolist(), (hi + length).tolist(), (at - lo).tolist(),
                                                                        strict=True)], dtype=np.uint64)
+                again = repeats_in_document(doc, h, c)
                 spot = ((at - bounds[doc]) << 20) | ((at - lo) << 10) | (at - hi)
+                owner, start, stop = ranges(doc[again], lo[again], hi[again] + length)
+                base = bounds[owner]
+                spread = (owner.astype(np.uint64) + np.uint64(row)) * np.uint64(_MULT[0]) + start.astype(np.uint64)
+                once = ~again
+                ids = b.column(0).take(pa.array(np.concatenate((doc[once], owner)) + row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(doc + row)), pa.array(spot)],
-                    names=["h", "c", "id", "spot"])
+                    [pa.array(np.concatenate((h[once], spread)).view(np.int64)),
+                     pa.array(np.concatenate((c[once].view(np.int64), stop - base))), ids,
+                     pa.array(np.concatenate((spot[once], start - base))),
+                     pa.array(np.arange(len(ids)) >= once.sum())], names=["h", "c", "id", "spot", "again"])
 
-    return docs.select("id", "text").mapInArrow(run, "h bigint, c bigint, id bigint, spot bigint")
+    return docs.select("id", "text").mapInArrow(run, "h bigint, c bigint, id bigint, spot bigint, again boolean")
+
+
+def repeats_in_document(doc: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which anchor occurrences (in page order) have an equal one before them
+    in their document."""
+    key = (h ^ (c * np.uint64(_MULT[1]))) * np.uint64(_MULT[2]) + doc.astype(np.uint64) * np.uint64(_MULT[3])
+    order = np.argsort(key, kind="stable")
+    same = np.concatenate(([False], key[order][1:] == key[order][:-1])) if key.size else np.zeros(0, bool)
+    out = np.zeros(key.size, bool)
+    out[order[same]] = True
+    return out
+
+
+def ranges(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """Merge ranges (ascending in each document) that overlap or touch."""
+    if not doc.size:
+        return doc, start, stop
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])))
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [doc.size - 1]))
+    return doc[first], start[first], stop[last]
 
 
 def place(spot) -> tuple:
@@ -417,7 +451,10 @@ def removals(d: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT)
     ``d(id, text)`` with unique ids. Runs jobs; partial results go to the
     shared folder."""
     repeated = cut(anchor_hashes(d, length).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    some = cut(anchor_rows(d, length).join(repeated, "h"))
+    rows = anchor_rows(d, length).join(repeated.withColumn("more", F.lit(True)), "h", "left")
+    every = cut(rows.where("more or again").drop("more"))
+    own = every.where("again").select("id", F.col("spot").cast("int").alias("start"), F.col("c").cast("int").alias("stop"))
+    some = every.where("not again").drop("again")
     merged = cut(some.groupBy("h", "c").agg(F.min(F.struct("id", "spot")).alias("first"), F.count("*").alias("n")))
     kinds = cut(merged.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     several = merged.join(kinds, "h").select("h", "first.*")
@@ -426,7 +463,7 @@ def removals(d: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT)
     copies = some.join(cut(merged.where("n > 1").select("h", "c", "first")), ["h", "c"])
     _, lo, hi = place(F.col("spot"))
     whole = copies.where((F.col("id") != F.col("first.id")) | (F.col("spot") != F.col("first.spot"))).select(
-        "id", lo.alias("start"), (hi + length).alias("stop"))
+        "id", lo.alias("start"), (hi + length).alias("stop")).unionByName(own)
     large = cut(kinds.where(F.col("kinds") > group_limit).select("h"))
     if large.isEmpty():
         return whole.unionByName(sorted_later(found, length))
@@ -484,7 +521,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, len(keep)):
             n, gone, count, out = [], [], [], []
             for text, mark in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")

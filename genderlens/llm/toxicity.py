@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, cut
+from .common import crc_rest, cut, small
 from .quality import crc_fold, labelled_sample
 
 SAMPLE = 20_000
@@ -130,7 +130,7 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
     ``sample(text, label)`` apart. Words are counted once per document and
     pre-aggregated per batch; at most ``LEXICON_WORDS`` reach the driver."""
     def run(batches):
-        for b in batches:
+        for b in small(batches, 0):
             sides = Counter(), Counter()
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set(WORD.findall((text or "").lower()))
@@ -166,7 +166,7 @@ def featured(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text",
 
     def run(batches):
         lex = shared.value
-        for b in batches:
+        for b in small(batches, at):
             rows = [describe(t, lex) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*keep, out])
 
