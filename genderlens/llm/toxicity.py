@@ -38,9 +38,9 @@ from .quality import crc_fold, labelled_sample
 SAMPLE = 20_000
 LEXICON_WORDS = 3000
 #: Likelihood-ratio statistic from which a word enters the lexicon.
-SURE = 30.0
+SURE = 20.0
 #: The same for word beginnings, and their lengths.
-SURE_STEM = 20.0
+SURE_STEM = 15.0
 STEMS = (4, 6)
 NEAR = 5
 
