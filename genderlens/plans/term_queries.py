@@ -11,6 +11,7 @@ from ..operators.ranking import rank_by_numeric
 from ..operators.names import term_counts
 from ..operators.terms import add_masks, masked_table, render_counts
 from ..operators.vocab import name_lists
+from ..session import sized
 from ..sources import fixtures as fx
 from ..sources import lexicon as lx
 from ..sources.tables import read_table
@@ -26,7 +27,8 @@ def cleaned_docs(spark, sf):
 
 
 def names(spark, sf):
-    return name_lists(fx.name_lookup(spark, sf))
+    """The name lists, written once: a lexicon is read several times."""
+    return sized(name_lists(fx.name_lookup(spark, sf)))
 
 
 def lexicon(spark, sf, direction):
@@ -35,8 +37,8 @@ def lexicon(spark, sf, direction):
 
 
 def universe(spark, sf):
-    return lx.universe_frame(lx.lexicon_frame(spark, "f2m", names(spark, sf)),
-                             lx.lexicon_frame(spark, "m2f", names(spark, sf)))
+    nm = names(spark, sf)
+    return lx.universe_frame(lx.lexicon_frame(spark, "f2m", nm), lx.lexicon_frame(spark, "m2f", nm))
 
 
 # ------------------------------------------------------------------ SQL side
