@@ -24,7 +24,7 @@ def crc_rest(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def utf8_chunks(column: pa.Array, limit: int = 1 << 21):
+def utf8_chunks(column: pa.Array, limit: int = 1 << 18):
     """Split a string column into row ranges of about ``limit`` bytes (one
     row at least) and yield ``(first_row, data, offsets)``: the UTF-8 bytes
     of the rows back to back and their bounds. Null counts as empty."""
@@ -45,7 +45,7 @@ def utf8_chunks(column: pa.Array, limit: int = 1 << 21):
         at = end
 
 
-def small(batches, column: int, limit: int = 1 << 22):
+def small(batches, column: int, limit: int = 1 << 20):
     """Cut record batches so that a text column holds about ``limit`` bytes
     each (one row at least): a batch has a bound on its rows only, and as
     Python objects long texts would take a worker's memory."""
