@@ -7,13 +7,13 @@ collide in many projections and others in few. Each projection is sorted, the
 window centred on every query is cut out of the order, and collisions are
 counted per pair; pairs that reach the count threshold are verified by cosine
 in double precision. Half-width and threshold are chosen for a recall of
-``RECALL`` over the distances of the near pairs of a bounded sample of
-queries, found by brute force against all vectors (without such pairs: at the
-distance of the cosine threshold).
+``RECALL`` at the distance of the cosine threshold. Nearer pairs collide more
+often, so the recall holds at every distance and for every group, however the
+near pairs are spread over distances and vectors.
 
 Work is laid out by the first projection: its order is cut into blocks of
 about ``BLOCK`` vectors, and two blocks meet only if their ranges come within
-``REACH`` deviations of the calibrated distance. A meeting counts collisions
+``REACH`` deviations of that distance. A meeting counts collisions
 for its block pair and returns per-vector link counts and a spanning set of
 links, never the pairs. Equal vectors are merged first.
 
@@ -39,11 +39,9 @@ from .common import components, cut, range_buckets
 
 PROJECTIONS = 16
 BLOCK = 4096
-SAMPLE = 1000
 RECALL = 0.99
 REACH = 3.5
 COSINE = 0.9
-_BINS = 64
 
 
 def directions(dim: int, n: int = PROJECTIONS, seed: int = 11) -> np.ndarray:
@@ -60,19 +58,16 @@ def at_least(k: int, n: int, p: float) -> float:
     return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
 
-def calibrate(histogram: np.ndarray, far: float, recall: float = RECALL, n: int = PROJECTIONS) -> tuple[float, int]:
-    """Half-width and count threshold of least cost with the wanted mean
-    recall over ``histogram`` (near pairs by distance, ``_BINS`` equal bins
-    up to ``far``). Cost: collisions counted and pairs verified by chance,
-    at the distance of unrelated unit vectors."""
-    weight = histogram / histogram.sum() if histogram.sum() else np.eye(_BINS)[-1]
-    spots = (np.arange(_BINS) + 1) * far / _BINS
+def calibrate(far: float, recall: float = RECALL, n: int = PROJECTIONS) -> tuple[float, int]:
+    """Half-width and count threshold of least cost with the wanted recall
+    of pairs at distance ``far``, and so of every nearer pair. Cost:
+    collisions counted and pairs verified by chance, at the distance of
+    unrelated unit vectors."""
     best = None
     for width in np.linspace(far / 20, 2 * far, 60):
-        p = [collision_chance(width, s) for s in spots]
-        chance = collision_chance(width, math.sqrt(2))
+        p, chance = collision_chance(width, far), collision_chance(width, math.sqrt(2))
         for k in range(1, n + 1):
-            if sum(w * at_least(k, n, x) for w, x in zip(weight, p, strict=True) if w) < recall:
+            if at_least(k, n, p) < recall:
                 break
             cost = n * chance + 30 * at_least(k, n, chance)
             if best is None or cost < best[0]:
@@ -87,17 +82,27 @@ def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def count_collisions(p: np.ndarray, q: np.ndarray, width: float) -> np.ndarray:
-    """``len(p) x len(q)`` collision counts; ``q`` is sorted by every
-    projection and the window around each row of ``p`` is counted."""
-    counts = np.zeros((len(p), len(q)), np.uint8)
-    for j in range(p.shape[1]):
-        order = np.argsort(q[:, j])
-        line = q[order, j]
-        lo = np.searchsorted(line, p[:, j] - width).tolist()
-        hi = np.searchsorted(line, p[:, j] + width, side="right").tolist()
-        for row, a, b in zip(counts, lo, hi, strict=True):
-            row[order[a:b]] += 1
+def in_order(q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of every projection: the sorted values and each row's place in them."""
+    out = []
+    for line in q.T:
+        order = np.argsort(line)
+        place = np.empty(len(q), np.uint16 if len(q) < 1 << 16 else np.uint32)
+        place[order] = np.arange(len(q))
+        out.append((line[order], place))
+    return out
+
+
+def count_collisions(p: np.ndarray, laid: list[tuple[np.ndarray, np.ndarray]], width: float) -> np.ndarray:
+    """``len(p) x len(q)`` collision counts, where ``laid`` is ``q`` in the
+    order of every projection: a row of ``q`` collides with a row of ``p``
+    if its place is in the window around that row."""
+    counts = np.zeros((len(p), len(laid[0][1])), np.uint8)
+    for j, (line, place) in enumerate(laid):
+        lo = np.searchsorted(line, p[:, j] - width)
+        n = np.searchsorted(line, p[:, j] + width, side="right") - lo
+        # places before the window wrap round to numbers beyond it
+        counts += place[None, :] - lo.astype(place.dtype)[:, None] < n.astype(place.dtype)[:, None]
     return counts
 
 
@@ -109,20 +114,20 @@ def block_links(x: np.ndarray, y: np.ndarray | None, width: float, least: int, c
     own = y is None
     y, weight_y = (x, weight_x) if own else (y, weight_y)
     a = directions(x.shape[1])
-    p, q = x @ a, y @ a
+    p, laid = x @ a, in_order(y @ a)
     n = len(x)
     total = n if own else n + len(y)
     partners, label = np.zeros(total, np.int64), np.arange(total)
     shift = 0 if own else n
     for at in range(0, n, 256):
-        near = count_collisions(p[at:at + 256], q, width) >= least
+        near = count_collisions(p[at:at + 256], laid, width) >= least
         if own:
             near[:, :at] = False
             near &= np.arange(n)[None, :] > np.arange(at, at + len(near))[:, None]
         hits = int(near.sum())
         if not hits:
             continue
-        if hits * 8 > near.size:  # dense: one product verifies all of it
+        if hits * 64 > near.size:  # dense: one product verifies all of it
             near &= x[at:at + 256] @ y.T >= cosine
         else:
             r, c = np.nonzero(near)
@@ -143,43 +148,13 @@ def block_links(x: np.ndarray, y: np.ndarray | None, width: float, least: int, c
     return partners, label
 
 
-def sampled_distances(vectors: DataFrame, sample: DataFrame, dim: int, cosine: float) -> np.ndarray:
-    """Histogram of the distances of near pairs of the sampled vectors
-    against all (brute force; pairs of a vector with itself left out)."""
-    rows = sample.collect()  # at most SAMPLE rows
-    if not rows:
-        return np.zeros(_BINS)
-    own = np.array([r["node"] for r in rows])
-    x = unit_rows(pa.array([r["v"] for r in rows], pa.list_(pa.float64())), dim)
-    far = math.sqrt(2 - 2 * cosine)
-    shared = vectors.sparkSession.sparkContext.broadcast((own, x))
-
-    def run(batches):
-        ids, base = shared.value
-        out = np.zeros(_BINS, np.int64)
-        for b in batches:
-            near = base @ unit_rows(b.column(1), dim).T
-            near[ids[:, None] == b.column(0).to_numpy()[None, :]] = -1
-            s = np.sqrt(np.maximum(2 - 2 * near[near >= cosine], 0))
-            out += np.bincount(np.minimum((s / far * _BINS).astype(int), _BINS - 1), minlength=_BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BINS)), pa.array(out)], names=["bin", "n"])
-
-    got = vectors.select("node", "v").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(_BINS)
-    for r in got:
-        out[r["bin"]] = r["n"]
-    return out
-
-
 def _links(vectors: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, DataFrame]:
     """``(node, partners)`` and ``(a, b)`` for ``vectors(node, mult, v)`` of
     one length."""
     spark = vectors.sparkSession
     far = math.sqrt(2 - 2 * cosine)
-    histogram = sampled_distances(vectors, vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE), dim, cosine)
-    width, least = calibrate(histogram, far)
-    top = np.flatnonzero(np.cumsum(histogram) >= 0.999 * histogram.sum())[0] + 1 if histogram.sum() else _BINS
-    reach = REACH * far * top / _BINS
+    width, least = calibrate(far)
+    reach = REACH * far
 
     def first(batches):
         a = directions(dim)[:, 0]

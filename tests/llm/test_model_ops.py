@@ -1,6 +1,7 @@
 """URL filter, toxicity, quality, HTML extraction, embedding near-dup and
 packing: brute force or held-out accuracy, and edge cases."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -207,6 +208,31 @@ def test_embedding_recall_and_soundness(spark):
     assert all(reach[i, got[i].component_id] for i in got)
 
 
+def test_embedding_recall_beside_a_dense_third(spark):
+    r = np.random.default_rng(6)
+
+    def beside(v, cosine):
+        u = v / np.linalg.norm(v)
+        w = r.standard_normal(len(v))
+        w -= (w @ u) * u
+        return cosine * u + math.sqrt(1 - cosine ** 2) * w / np.linalg.norm(w)
+
+    one = r.standard_normal(64)
+    dense = [beside(one, 0.9975) for _ in range(400)]  # over 99 % of the near pairs
+    cosines = [0.901, 0.91, 0.93, 0.95]
+    lone = [x for c in cosines for _ in range(100) for v in [r.standard_normal(64)] for x in (v, beside(v, c))]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate([*lone, *dense])], "vec_id bigint, embedding array<double>")
+    old, embed_dedup.BLOCK = embed_dedup.BLOCK, 300
+    try:
+        got = {q.id: q for q in embed_dedup.near_duplicates(df.repartition(4)).collect()}
+    finally:
+        embed_dedup.BLOCK = old
+    for g in range(len(cosines)):
+        pairs = range(200 * g, 200 * g + 200, 2)
+        assert sum(got[i].component_id == got[i + 1].component_id for i in pairs) >= 95, cosines[g]
+    assert {got[i].component_id for i in range(800, 1200)} == {800}
+
+
 def test_embedding_edges(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one), (2, one), (2, one), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 3.0]), (6, [float("nan"), 1.0, 1.0]),
