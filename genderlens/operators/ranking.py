@@ -91,20 +91,23 @@ def rank_by_numeric(df: DataFrame, key: str, out: str = "rank", buckets: int | N
     return rank_with_buckets(x, ["__bucket"], [F.col(key)], out, max_buckets=b + 2).drop("__key", "__bucket")
 
 
-def dense_id(df: DataFrame, order_key: str, out: str = "ID") -> DataFrame:
+def dense_id(df: DataFrame, order_key: str, out: str = "ID", tie: str | None = None) -> DataFrame:
     """0..n-1 in row order, where the unique ``order_key`` defines the row
-    order; rows without a key come last.
+    order; rows without a key come last, by the unique column ``tie`` (without
+    one in the order in which they are read).
 
     Only the key column is ranked (and written once, so Spark knows its
     size); the ids are joined back, so wide rows move only if the table of
-    ids is too large to broadcast. Runs jobs."""
-    if df.columns == [order_key]:
-        return rank_by_numeric(df, order_key, out)
-    known = df.where(F.col(order_key).isNotNull())
+    ids is too large to broadcast. Rows without a key are ranked by ranges of
+    ``tie``, or numbered where they lie, so any share of them is dealt over
+    the tasks. Runs jobs."""
+    known, rest = df.where(F.col(order_key).isNotNull()), df.where(F.col(order_key).isNull())
     ids = sized(rank_by_numeric(known.select(order_key), order_key, out))
-    last = rank_by_numeric(df.where(F.col(order_key).isNull()), order_key, out)
-    last = last.withColumn(out, F.col(out) + F.lit(ids.count()))
-    return known.join(ids, order_key).select(*df.columns, out).unionByName(last)
+    last = _number(sized(rest.withColumn("__at", F.monotonically_increasing_id())), out) if tie is None \
+        else rank_by_order(rest, [_last(tie)], out)
+    last = last.select(*df.columns, (F.col(out) + F.lit(ids.count())).alias(out))
+    first = ids if df.columns == [order_key] else known.join(ids, order_key)
+    return first.select(*df.columns, out).unionByName(last)
 
 
 def rank_by_order(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
@@ -115,10 +118,17 @@ def rank_by_order(df: DataFrame, order: list[Column], out: str = "rank") -> Data
     narrow tables."""
     b = default_buckets(df)
     laid = df.repartitionByRange(b, *order).sortWithinPartitions(*order)
-    laid = sized(laid.withColumn("__at", F.monotonically_increasing_id()))  # partition number and place in it
+    return _number(sized(laid.withColumn("__at", F.monotonically_increasing_id())), out, b)
+
+
+def _number(laid: DataFrame, out: str, parts: int | None = None) -> DataFrame:
+    """Ranks from the written ``__at``: partition number (of at most
+    ``parts``) and place in it."""
     part = F.shiftright("__at", 33)
     counts = laid.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = broadcast_known(counts.select("__part", F.coalesce(before, F.lit(0)).alias("__off")), b)
+    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__off"))
+    if parts is not None:
+        offsets = broadcast_known(offsets, parts)
     rank = F.col("__off") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return laid.withColumn("__part", part).join(offsets, "__part").withColumn(out, rank.cast("long")).drop("__at", "__part", "__off")

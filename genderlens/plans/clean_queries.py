@@ -71,7 +71,7 @@ def q_dense_id_nulls(spark, sf):
         "doc_id", "n_chars", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("key"))
     low = d.where(F.col("key").isNull()).agg(F.min("doc_id").alias("low"))
     one = d.join(F.broadcast(low), d["doc_id"] == low["low"], "left_semi")  # one row of null key
-    return dense_id(d.where(F.col("key").isNotNull()).unionByName(one), "key", "ID").select("doc_id", "n_chars", "ID")
+    return dense_id(d.where(F.col("key").isNotNull()).unionByName(one), "key", "ID", tie="doc_id").select("doc_id", "n_chars", "ID")
 
 
 @register("danish_date", fx.with_views(

@@ -28,6 +28,18 @@ def test_dense_id_keeps_nulls_and_takes_empty_tables(spark):
     assert all(r.ID == i for i, r in enumerate(dense_id(big, "k").orderBy("k").collect()))
 
 
+def test_dense_id_deals_null_keys(spark):
+    df = spark.range(0, 6000, 1, 4).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), (F.col("id") * 7 % 6007).alias("t"))
+    got = dense_id(df, "k", tie="t")
+    rows = sorted((r.k is None, r.t if r.k is None else r.k, r.ID) for r in got.collect())
+    assert [r[2] for r in rows] == list(range(6000))
+    for one in (got, dense_id(df, "k"), dense_id(df.select("k"), "k")):
+        assert sorted(r.ID for r in one.collect()) == list(range(6000))
+        assert all((r.k is None) == (r.ID >= 4000) for r in one.collect())
+        nulls = one.where("k is null").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in nulls) < 0.6 * 2000  # not ranked in one task
+
+
 def test_seeded_rank_keeps_null_groups(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "x")], "ID bigint, g string")
     got = seeded_rank(df, "ID", 1, group=["g"]).collect()
