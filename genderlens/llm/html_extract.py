@@ -4,7 +4,8 @@ leaf blocks of a page.
 A page is read into leaf blocks: the text between two boundaries of
 block-level elements, with its ancestors, their class, id and role words, and
 its share of linked text. Scripts, styles, templates and comments hold no
-text. A two-label chain (main or not) scores the blocks by indicators of
+text; formulas read on in their block, and drawings, objects, frames and
+``noscript`` are blocks like others. A two-label chain (main or not) scores the blocks by indicators of
 ancestors, attribute words and the text's length, links, signs and place, and
 neighbours by label pairs. It is trained by gradient ascent on the
 conditional likelihood over labelled pages and decoded by Viterbi. The blocks
@@ -18,7 +19,8 @@ comments), with its own blocks as contents. The number of labelled pages is
 bounded by ``SAMPLE``; extraction covers every page and whole html.
 
 Defined results: null or empty html gives an empty text; broken markup is
-read as far as it goes (an unclosed tag is text); repeated rows are
+read as far as it goes (an unclosed tag is text, an unclosed element ends with
+its parent; only an unclosed script or style lasts to the end); repeated rows are
 extracted alike; an empty table gives an empty result; other columns are
 kept."""
 
@@ -41,14 +43,19 @@ LAYOUTS = 4
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript object ol "
-    "optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video audio".split())
-SILENT = frozenset("script style template noscript svg math iframe object noframes noembed".split())
+    "noembed noframes optgroup option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul "
+    "video audio".split())
+#: Blocks that may stand inside a paragraph and do not end it.
+PHRASE = frozenset("iframe noembed noframes noscript object svg template".split())
+#: Elements whose content is never text; that of the raw ones has no tags.
+RAW = frozenset("script style".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that opens closes these if they are on top of the open ones.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("td", "th", "tr", "thead", "tbody"),
           "tfoot": ("td", "th", "tr", "thead", "tbody"), "body": ("head", "title")}
 
+TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])[^>]*>", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -73,6 +80,16 @@ def attribute_words(raw: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def template_end(page: str, pos: int) -> int | None:
+    """Where the template that opens before ``pos`` ends; None if unclosed."""
+    depth = 1
+    for m in TEMPLATE.finditer(page, pos):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order; ``path`` holds ``(tag, attribute
     words)`` from the outermost ancestor to the innermost."""
@@ -95,7 +112,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if parts:
             t = " ".join("".join(parts).split())
-            if t:
+            if t and not any(tag == "template" for tag, _ in path):
                 out.append(Block(t, tuple(path), min(1.0, linked / len(t)), any(gold)))
             parts.clear()
         linked = 0
@@ -122,27 +139,32 @@ def blocks(page: str | None) -> list[Block]:
                         if path.pop()[0] == tag:
                             break
             continue
-        if tag in SILENT and not raw.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, pos)
+        empty = raw.rstrip().endswith("/")
+        if tag in RAW and not empty:
+            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, pos)
             pos = at = end.end() if end else n
             parts.append(" ")
             continue
+        if tag == "template" and not empty and (end := template_end(page, pos)):
+            pos = at = end
+            parts.append(" ")
+            continue
         if tag == "a":
             in_link += 1
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCK:
             flush()
-            if path and path[-1][0] == "p":
+            if path and path[-1][0] == "p" and tag not in PHRASE:
                 path.pop()
                 gold.pop()
             while path and path[-1][0] in CLOSES.get(tag, ()):
                 path.pop()
                 gold.pop()
-            if tag not in EMPTY:
+            if tag not in EMPTY and not (empty and tag in PHRASE):
                 path.append((tag, attribute_words(raw) if "=" in raw else ()))
                 gold.append(GOLD in raw)
-            in_link = 0 if tag not in ("div", "p", "span") else in_link
+            in_link = 0 if tag not in ("div", "p", "span") and tag not in PHRASE else in_link
     text(page[at:])
     flush()
     return out

@@ -128,6 +128,22 @@ def test_html_blocks():
     assert [b.text for b in html_extract.blocks("<p class=\"x>y</p><p>k</p>")]  # an open quote does not stop the reader
 
 
+def test_html_readable_elements_are_kept():
+    def read(page):
+        return [b.text for b in html_extract.blocks(page)]
+
+    assert read("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == ["So x=1 holds."]
+    page = "<div><p>a<svg><text>b</text></svg>c</p><noscript><p>d</p></noscript><iframe>e</iframe><object>f</object><svg/>g</div><p>h"
+    assert read(page) == list("abcdefgh")
+    assert [[t for t, _ in b.path] for b in html_extract.blocks(page)][:3] == [["div", "p"], ["div", "p", "svg"], ["div", "p"]]
+    for tag in ("math", "object", "svg", "noscript", "iframe"):  # unclosed
+        found = html_extract.blocks(f"<div><{tag}>a</div><article><p>The rest.</p></article>")
+        assert [b.text for b in found] == ["a", "The rest."]
+        assert [t for t, _ in found[1].path] == ["article", "p"]
+    assert read("<div><template>a</div><p>b</p><template>c<template>d</template>e</template><p>f") == ["b", "f"]
+    assert read("<p>a <template><p>no</p></template> b <script>var x = '<p>no';</script></p>") == ["a b"]
+
+
 def test_html_chain_trains_and_decodes():
     r = random.Random(1)
     pages = []
