@@ -40,7 +40,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their bins."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    return packing.pack_apart(docs).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("toxicity", toxicity_stage), ("quality classifier", quality_stage), ("simhash near-dedup", simhash_stage),

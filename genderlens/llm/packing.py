@@ -1,8 +1,9 @@
 """Conflict-constrained best-fit packing of documents into fixed-size bins.
 
 Documents are cut into pieces of at most ``capacity`` words. A bin holds no
-two pieces of one source and no two pieces of one duplicate cluster. Pieces
-come in order of falling size (then id and piece); open bins are ordered by
+two pieces of one source and no two pieces of one duplicate cluster (with
+``clustered``: the SimHash near-duplicate group, joined with the copies up to
+case and white space). Pieces come in order of falling size (then id and piece); open bins are ordered by
 residual space, and each bin carries a bitmap of its sources and one of its
 duplicate clusters. The successor search starts at the smallest residual that
 holds the piece and goes on until the tightest compatible bin is found (the
@@ -22,10 +23,16 @@ different bins); an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
+from .common import components, cut, small
+
 CAPACITY = 2048
 SHARD_ROWS = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -123,6 +130,42 @@ def exact_cluster(text):
     return F.when(flat != "", F.xxhash64(flat))
 
 
+def clustered(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``(id_col, source_col, size, cluster)``, one row per row of ``docs``:
+    words, and a name of the near-duplicate group (SimHash links and equality
+    up to case and white space, closed over both; null without words). Reads
+    the texts once. Runs jobs."""
+    def run(batches):
+        for b in small(batches, 2):
+            size, exact, fp = [], [], []
+            for t in b.column(2).to_pylist():
+                parts = simhash.word_bytes(t)
+                flat = b" ".join(parts)
+                if not flat.isascii():  # A-Z are lower-case already
+                    flat = flat.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
+                size.append(len(parts))
+                exact.append(xxhash.xxh64_intdigest(flat) if parts else None)
+                fp.append(simhash.of_words(parts))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(exact, pa.uint64()).view(pa.int64()),
+                 pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "source", "size", "exact", "fp"])
+
+    marked = cut(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+                 .mapInArrow(run, "id bigint, source string, size bigint, exact bigint, fp bigint"))
+    known = cut(marked.where("exact is not null").select("exact", "fp").distinct())
+    several = known.groupBy("exact").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")  # copies that differ beyond A-Z
+    copies = known.join(several, "exact").select("a", F.col("fp").alias("b"))
+    root = cut(components(simhash.links(known.select("fp").distinct()).unionByName(copies)))
+    named = marked.join(root.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size",
+                        F.when(F.col("exact").isNotNull(), F.coalesce("component", "fp")).alias("cluster"))
+
+
+def pack_apart(docs: DataFrame, **options) -> DataFrame:
+    """``pack`` with the near-duplicate groups of ``docs`` as clusters."""
+    return pack(cut(clustered(docs)), size=F.col("size"), cluster=F.col("cluster"), **options)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size=None, cluster=None,
          text_col: str = "text", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(id bigint, piece int, first_word bigint, n_words bigint, bin

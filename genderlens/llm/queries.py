@@ -39,7 +39,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return packing.pack_apart(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op4_suffix_dedup(spark, sf_dir):

@@ -43,7 +43,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit SimHash of a whole text: lower-cased A-Z, words split
     at ASCII white space, word shingles with repeats, XXH64 with seed 42; a
     bit is set if it is set in over half of the shingle hashes."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return of_words(word_bytes(text), words)
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """Words of a text: A-Z lower-cased, split at ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def of_words(parts: list[bytes], words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text's words."""
     if not parts:
         return 0
     flat = b" ".join(parts)

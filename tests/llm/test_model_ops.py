@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genderlens.llm import embed_dedup, html_extract, packing, quality, queries, toxicity, url_filter
+from genderlens.llm import embed_dedup, html_extract, packing, quality, queries, simhash, toxicity, url_filter
 from genderlens.llm.common import components
 from tests.conftest import SF001, SF01
 
@@ -336,6 +336,26 @@ def test_packing_query_keeps_its_contract(spark):
         assert len(set(flat)) == len(flat)
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    r = random.Random(8)
+    rows = []
+    for g in range(30):
+        words = [f"w{r.randint(0, 9999)}" for _ in range(300)]
+        for n in range(4):
+            words[r.randrange(300)] = f"v{n}"  # one word changed
+            rows.append((4 * g + n, " ".join(words), "en", f"s{n}", 0))
+    rows += [(200, "ÆBLE  og pære", "da", "a", 0), (201, "æble og PÆRE", "da", "b", 0), (202, "", "da", "c", 0), (203, " ", "da", "d", 0), (204, None, "da", "e", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    group = {q.id: q.component_id for q in simhash.groups(df).collect()}
+    assert sum(group[4 * g] == group[4 * g + n] for g in range(30) for n in (1, 2, 3)) > 30
+    at = {p.doc_id: p.bin for p in queries.op3_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert len(at) == len(rows)
+    members = [(at[i], group[i]) for i in range(120)]
+    assert len(set(members)) == len(members)
+    assert at[200] != at[201] and at[202] == at[203] == at[204]  # copies apart, empty texts together
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([(1, None, None, "z"), (1, None, None, "z"), (None, "w " * 5000, "a", "z"), (3, "", "a", "z"), (4, "x", "b", "z"), (5, "X ", "c", "z")],
                                "doc_id bigint, text string, source string, bin string")
