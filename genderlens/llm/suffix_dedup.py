@@ -372,6 +372,11 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.select("id", F.transform("asked", cut_bytes).alias("cuts")).select("id", F.inline("cuts"))
 
 
+def last_group(h: np.ndarray) -> int:
+    """Where the last run of equal values begins."""
+    return int(np.argmax(h == h[-1]))
+
+
 def sorted_later(found: DataFrame, length: int) -> DataFrame:
     """``(id, start)`` runs of later windows for groups of contexts
     ``found(h, id, at, lo, hi, bytes)``, sorted group by group."""
@@ -383,7 +388,7 @@ def sorted_later(found: DataFrame, length: int) -> DataFrame:
             if held.num_rows < 4000:
                 continue
             h = held.column("h").to_numpy()
-            done = int(np.searchsorted(h != h[-1], False)) if h[0] != h[-1] else 0
+            done = last_group(h)
             if done:
                 yield solve(held.slice(0, done))
                 held = held.slice(done)

@@ -167,6 +167,11 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert got == sorted([("0", ("x" + a)[:3], 0), ("1", a[:3], n), ("1", a[:3], n), ("1", b[:3], 0), ("None", a[:3], n)])
 
 
+def test_finished_groups_are_let_go():
+    assert suffix_dedup.last_group(np.array([3, 3, 5, 5, 9, 9, 9])) == 4
+    assert suffix_dedup.last_group(np.array([4, 4, 4])) == 0 and suffix_dedup.last_group(np.array([-2, 7])) == 1
+
+
 def test_deep_shallow_sorting():
     r = random.Random(5)
     for _ in range(60):
