@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import sized as cut
 
-__all__ = ["components", "crc_rest", "cut", "range_buckets", "small", "table", "utf8_chunks"]
+__all__ = ["components", "crc_rest", "cut", "range_buckets", "small", "sound", "table", "utf8_chunks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def crc_rest(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sound(vector: str):
+    """Whether a vector (array of doubles) is there and holds finite numbers only."""
+    v = F.col(vector)
+    return F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def utf8_chunks(column: pa.Array, limit: int = 1 << 18):
     """Split a string column into row ranges of about ``limit`` bytes (one
     row at least) and yield ``(first_row, data, offsets)``: the UTF-8 bytes

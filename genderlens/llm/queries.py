@@ -10,7 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, html_extract, order_minhash, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import (bpe, embed_dedup, hard_negatives, html_extract, order_minhash, packing, quality, simhash, suffix_dedup, toxicity, url_filter,
+               whitening)
 from .common import table
 
 #: The explicit url rules.
@@ -82,6 +83,18 @@ def op10_order_minhash(spark, sf_dir):
     return order_minhash.successor_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Labels of every seventh id move on by one before mining; every
+    fiftieth id is an anchor."""
+    moved = ((F.col("label").cast("decimal(20,0)") + 1) % 10).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")).alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +106,8 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_order_minhash": op10_order_minhash,
+    "op11_whitening": op11_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _URL_SQL = r"""
@@ -177,4 +192,26 @@ select e.vec_id, (select count(*) from link where link.a = e.vec_id)::bigint as
 from embeddings e join (select vec_id, min(c) as c from r group by vec_id) m on m.vec_id = e.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op4_suffix_dedup": _REPEATS_SQL, "op9_embed_dedup": _EMBED_SQL}
+# Every anchor against every row; the row number tells repeated rows apart.
+_NEGATIVES_SQL = r"""
+with r as (
+  select row_number() over () as k, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding::double[], lambda x: floor(256 * x)) as x
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.k, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+  from r a join r b on a.k <> b.k where a.vec_id % 50 = 0),
+p as (
+  select k, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by k order by score desc, vec_id) as place
+  from s where same),
+n as (
+  select p.k, p.place, p.anchor_id, p.positive_id, p.positive_score, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.k, p.place order by s.score desc, s.vec_id)::integer as rank
+  from p join s on s.k = p.k and not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+  where p.place <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": _URL_SQL, "op4_suffix_dedup": _REPEATS_SQL, "op9_embed_dedup": _EMBED_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
