@@ -10,8 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (bpe, embed_dedup, hard_negatives, html_extract, order_minhash, packing, quality, simhash, suffix_dedup, toxicity, url_filter,
-               whitening)
+from . import (bpe, embed_dedup, hard_negatives, html_extract, order_minhash, packing, ppm, quality, simhash, suffix_dedup, toxicity,
+               url_filter, whitening)
 from .common import table
 
 #: The explicit url rules.
@@ -87,6 +87,10 @@ def op11_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_lm_score(spark, sf_dir):
+    return ppm.scored(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op13_hard_negatives(spark, sf_dir):
     """Labels of every seventh id move on by one before mining; every
     fiftieth id is an anchor."""
@@ -107,6 +111,7 @@ QUERIES = {
     "op9_embed_dedup": op9_embed_dedup,
     "op10_order_minhash": op10_order_minhash,
     "op11_whitening": op11_whitening,
+    "op12_lm_score": op12_lm_score,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
