@@ -30,20 +30,26 @@ log10(252) and the base score is 0; an empty table gives an empty result."""
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import checkpoint_dir
 from .common import crc_rest, cut, small
 
 ORDER = 5
 CHUNK = 32 << 20
 PIECE = 1 << 20
+#: Rows that a task puts together before it bundles them by chunk.
+BUNDLE = 500_000
 #: Byte values without the five white-space controls, and the end sign.
 SYMBOLS = 252
 END = b"\n"
@@ -108,21 +114,33 @@ def batched(texts):
         yield held
 
 
-def lay():
-    """Encoded texts, numbered in chunks as they are read."""
-    def run(batches):
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        for b in small(batches, 2):
-            x = [encoded(t) for t in b.column(2).to_pylist()]
-            at = []
-            for t in x:
-                if size and size + len(t) > CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += len(t)
-                at.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b.column(0), b.column(1), pa.array(x, pa.binary())],
-                                             names=["chunk", "id", "held_out", "x"])
-    return run
+def lay(batches):
+    """Encoded texts, numbered in chunks as they are read; about ``PIECE`` bytes
+    of texts to a row, compressed."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in small(batches, 2):
+        texts = [encoded(t) for t in b.column(2).to_pylist()]
+        at = 0
+        for part in batched(texts):
+            sizes = [len(t) for t in part]
+            if size and size + sum(sizes) > CHUNK:
+                chunk, size = chunk + 1, 0
+            size += sum(sizes)
+            rows = b.slice(at, len(part))
+            at += len(part)
+            one = pa.array([0, len(part)], pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(one, rows.column(0)), pa.ListArray.from_arrays(one, rows.column(1)),
+                pa.ListArray.from_arrays(one, pa.array(sizes, pa.int64())), pa.array([pack.compress(b"".join(part))], pa.binary())],
+                names=["chunk", "ids", "held_out", "sizes", "x"])
+
+
+def unpacked(sizes: list[int], x: bytes) -> list[bytes]:
+    """The texts of one row of ``lay``."""
+    raw = zstandard.ZstdDecompressor().decompress(x, max_output_size=max(1, sum(sizes)))
+    ends = np.cumsum(sizes).tolist()
+    return [raw[e - n:e] for e, n in zip(ends, sizes)]
 
 
 # ---- counting ----------------------------------------------------------------------
@@ -179,18 +197,17 @@ def batch(chunk: int, keys, words, n) -> pa.RecordBatch:
 def count(order: int):
     def run(batches):
         chunk, counts = None, None
-        for b in small(batches, 2):
-            at, held, x = (b.column(i).to_pylist() for i in range(3))
-            starts = [0, *(i for i in range(1, len(at)) if (at[i], held[i]) != (at[i - 1], held[i - 1])), len(at)]
-            for i, j in zip(starts, starts[1:]):
-                if i == j:
-                    continue
-                if at[i] != chunk:
+        for b in batches:
+            for i in range(b.num_rows):
+                at, held, sizes, x = (b.column(c)[i].as_py() for c in range(4))
+                if at != chunk:
                     if counts:
                         yield from counts.rows(chunk)
-                    chunk, counts = at[i], ChunkCounts(order)
-                for texts in batched(x[i:j]):
-                    counts.add(texts, held[i])
+                    chunk, counts = at, ChunkCounts(order)
+                texts = unpacked(sizes, x)
+                for side in (False, True):
+                    if mine := [t for t, h in zip(texts, held) if h == side]:
+                        counts.add(mine, side)
         if counts:
             yield from counts.rows(chunk)
     return run
@@ -264,27 +281,91 @@ def probabilities(counted: DataFrame, order: int) -> DataFrame:
 
 # ---- scoring -----------------------------------------------------------------------
 
+def bundle(batches):
+    """Rows (chunk, gram, value) or (chunk, word, c) put together by chunk, a
+    few rows a task, sorted and compressed: what a chunk gets back."""
+    pack = zstandard.ZstdCompressor(level=3)
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        t = pa.Table.from_batches(held)
+        for chunk in pc.unique(t.column("chunk")).to_pylist():
+            mine = t.filter(pc.equal(t.column("chunk"), chunk))
+            g = mine.filter(pc.is_valid(mine.column("gram")))
+            keys, value = g.column("gram").to_numpy(), g.column("value").to_numpy()
+            order = np.argsort(keys)
+            keys, value = keys[order], value[order]
+            w = mine.filter(pc.is_valid(mine.column("word")))
+            n = pa.array([len(keys)], pa.int64())
+            blobs = [np.diff(keys, prepend=0).tobytes(), value.tobytes(), b" ".join(w.column("word").to_pylist()), w.column("value").to_numpy().tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), n, *(pa.array([pack.compress(x)], pa.binary()) for x in blobs)],
+                                             names=["chunk", "n", "grams", "values", "words", "counts"])
+
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= BUNDLE:
+            yield from flush()
+            held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def opened(named: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """A chunk's bundles: sorted grams, their values, and counts by word."""
+    read = zstandard.ZstdDecompressor()
+    keys, values, counts = [np.zeros(0, np.int64)], [np.zeros(0)], {}
+    for row in named.select(["grams", "values", "words", "counts"]).to_pylist():
+        blob = {k: read.decompressobj().decompress(v) for k, v in row.items()}
+        keys.append(np.cumsum(np.frombuffer(blob["grams"], np.int64)))
+        values.append(np.frombuffer(blob["values"]))
+        if blob["counts"]:
+            counts.update(zip(blob["words"].split(b" "), np.frombuffer(blob["counts"]).astype(np.int64).tolist(), strict=True))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key)
+    return key[order], value[order], counts
+
+
+class Terms(dict):
+    """Base terms by word; a word that is not in it was never trained on."""
+
+    def __init__(self, counts: dict[bytes, int], scale: int):
+        super().__init__((w, math.log10((c + 1) / scale)) for w, c in counts.items())
+        self.other = math.log10(1 / scale)
+
+    def __missing__(self, _):
+        return self.other
+
+
 def score(order: int, tokens: int, kinds: int, ends: int):
     scale = tokens + kinds + 1
 
     def run(texts: pa.Table, named: pa.Table) -> pa.Table:
-        is_gram = named.column("gram").is_valid()
-        mine = named.filter(is_gram)
-        keys, value = mine.column("gram").to_numpy(), mine.column("value").to_numpy()
-        at = np.argsort(keys)
-        keys, value = keys[at], value[at]
-        words = named.filter(pc.invert(is_gram))
-        counts = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
-        unknown = {w for w, c in counts.items() if not c}
-        terms = {w: math.log10((c + 1) / scale) for w, c in counts.items()}
+        keys, value, counts = opened(named)
+        rows = [texts.slice(i, 1) for i in range(texts.num_rows)]
+
+        def each():
+            for r in rows:
+                yield r.column("held_out")[0].as_py(), unpacked(r.column("sizes")[0].as_py(), r.column("x")[0].as_py())
+
+        local: Counter = Counter()  # words of this chunk alone have no other counts
+        for held, xs in each():
+            for h, x in zip(held, xs):
+                if not h:
+                    for ws in word_lists(x):
+                        local.update(ws)
+        counts = {**local, **counts}
+        terms, known_words = Terms(counts, scale), {w for w, c in counts.items() if c}
+        del local, counts
         end = math.log10((ends + 1) / scale)
         n_tokens, n_known, base, total = [], [], [], []
-        for xs in batched(b.as_py() for b in texts.column("x")):
+        for _, xs in each():
             for x in xs:
                 n, known, s = 1, int(ends > 0), end
                 for ws in word_lists(x):
                     n += len(ws)
-                    known += len(ws) - sum(map(unknown.__contains__, ws)) if unknown else len(ws)
+                    known += sum(map(known_words.__contains__, ws))
                     s += sum(map(terms.__getitem__, ws))
                 n_tokens.append(n)
                 n_known.append(known)
@@ -294,13 +375,34 @@ def score(order: int, tokens: int, kinds: int, ends: int):
             else:
                 got = value[np.searchsorted(keys, grams(xs, order))]
                 total += np.add.reduceat(got, np.cumsum([0, *map(len, xs[:-1])])).tolist()
+        ids, held = (pa.chunked_array([r.column(c)[0].values for r in rows]) for c in ("ids", "held_out"))
         size = len(n_tokens)
         return pa.table({
-            "id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+            "id": ids, "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array(np.full(size, tokens, np.int64)), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
     return run
 
 
+def shared_words(named: DataFrame) -> tuple[DataFrame, int, int]:
+    """``(chunk, word, c)`` for the words of more than one row of ``named``,
+    with the counts of all; the number of training words, and of different
+    ones. A word of one chunk is counted by that chunk alone."""
+    by = Window.partitionBy("word")  # a row a chunk
+    first = F.row_number().over(by.orderBy("chunk")) == 1
+    x = named.select("chunk", "word", "n").withColumns({"c": F.sum("n").over(by), "k": F.count("*").over(by), "first": first})
+    x = kept(x.where("k > 1"))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("rows")).first()
+    mine = x.agg(F.count_if(F.col("n") > 0).alias("rows"), F.count_if((F.col("c") > 0) & F.col("first")).alias("words")).first()
+    return x.select("chunk", "word", "c"), total["n"], total["rows"] - mine["rows"] + mine["words"]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``common.cut`` with denser compression: the tables here are large."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ppm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scored(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``,
     one row per row of ``docs``. Runs jobs; texts in chunks, counts and the
@@ -309,18 +411,15 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER,
         raise ValueError("a gram of at most seven bytes keeps its sign")
     rows = docs.select(F.col(id_col).alias("id"), (crc_rest(id_col, modulus) == held).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    laid = cut(rows.mapInArrow(lay(), f"chunk bigint, id {kind}, held_out boolean, x binary"))
-    named = cut(laid.select("chunk", "held_out", "x").mapInArrow(count(order), "chunk bigint, gram bigint, word binary, n bigint"))
-    grams_of, words_of = named.where("gram is not null"), named.where("word is not null")
-    totals = cut(words_of.groupBy("word").agg(F.sum("n").alias("c")))
-    sums = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ends = laid.where("not held_out").count()
+    laid = kept(rows.mapInArrow(lay, f"chunk bigint, ids array<{kind}>, held_out array<boolean>, sizes array<bigint>, x binary"))
+    named = kept(laid.select("chunk", "held_out", "sizes", "x").mapInArrow(count(order), "chunk bigint, gram bigint, word binary, n bigint"))
+    grams_of = named.where("gram is not null")
+    words, tokens, kinds = shared_words(named.where("word is not null"))
+    ends = laid.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
     value = cut(probabilities(cut(grams_of.groupBy("gram").agg(F.sum("n").alias("n"))), order))
     known = grams_of.select("chunk", "gram").join(value, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    known = known.unionByName(words_of.select("chunk", "word").join(totals, "word").select(
-        "chunk", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value")))
-    tokens, kinds = sums["n"] + ends, sums["v"] + (1 if ends else 0)
-    texts = laid.select("chunk", "id", "held_out", "x")
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        score(order, tokens, kinds, ends),
+    known = known.unionByName(words.select("chunk", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value")))
+    known = known.mapInArrow(bundle, "chunk bigint, n bigint, grams binary, values binary, words binary, counts binary")
+    return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+        score(order, tokens + ends, kinds + (1 if ends else 0), ends),
         f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genderlens.llm import hard_negatives, ppm, queries, whitening
-from tests.conftest import SF001, SF01
+from tests.conftest import SF001
 
 
 # ---- prediction by partial matching ----------------------------------------------
@@ -122,14 +122,14 @@ def test_ppm_empty_and_untrained(spark):
 
 
 def test_longer_contexts_code_held_out_texts_better(spark):
-    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
     totals = {}
-    for order in (0, 2, 5):
+    for order in (0, 4):
         got = ppm.scored(docs, order=order)
         r = got.where("held_out").agg(F.sum("score").alias("s"), F.count("*").alias("n")).first()
         totals[order] = r["s"]
     size = sum(len(plain_bytes(r.text)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-    assert -size * math.log10(252) < totals[0] < totals[2] < totals[5] < -size * 0.3
+    assert -size * math.log10(252) < totals[0] < totals[4] < -size * 0.3
 
 
 def test_ppm_query_equals_plain_scores(spark):
