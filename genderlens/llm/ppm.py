@@ -19,7 +19,7 @@ ones, which bounds every key of every join and group here, whatever the
 corpus. The probability of a gram is the same wherever it occurs: texts are
 laid in chunks of about ``CHUNK`` bytes as they are read, each chunk names its
 distinct grams and words once, gets their probabilities and counts back by
-joins, and scores its texts with them. Nothing that grows with the corpus goes
+joins, and scores its texts with them in a task of its own. Nothing that grows with the corpus goes
 to the driver or is broadcast.
 
 Defined results: a null text is an empty one, whose only token is its end; a
@@ -40,6 +40,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
@@ -296,10 +297,9 @@ def bundle(batches):
             order = np.argsort(keys)
             keys, value = keys[order], value[order]
             w = mine.filter(pc.is_valid(mine.column("word")))
-            n = pa.array([len(keys)], pa.int64())
             blobs = [np.diff(keys, prepend=0).tobytes(), value.tobytes(), b" ".join(w.column("word").to_pylist()), w.column("value").to_numpy().tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), n, *(pa.array([pack.compress(x)], pa.binary()) for x in blobs)],
-                                             names=["chunk", "n", "grams", "values", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([pack.compress(x)], pa.binary()) for x in blobs)],
+                                             names=["chunk", "grams", "values", "words", "counts"])
 
     size = 0
     for b in batches:
@@ -312,19 +312,40 @@ def bundle(batches):
         yield from flush()
 
 
-def opened(named: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-    """A chunk's bundles: sorted grams, their values, and counts by word."""
+class Values:
+    """Values by gram, looked up for arrays of grams that all have one: the
+    grams lie in the order of a hash whose slots hold about one each."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
+        self.bits = max(1, int(len(keys)).bit_length())
+        slot = self.slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.value = keys[order], value[order]
+        self.start = np.searchsorted(slot[order], np.arange(1 << self.bits, dtype=np.uint64)).astype(np.int64)
+
+    def slot(self, g: np.ndarray) -> np.ndarray:
+        return (g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        at = self.start[self.slot(g)]
+        left = np.flatnonzero(self.keys[at] != g)
+        while left.size:
+            at[left] += 1
+            left = left[self.keys[at[left]] != g[left]]
+        return self.value[at]
+
+
+def opened(bundles: list[dict]) -> tuple[Values, dict[bytes, int]]:
+    """A chunk's bundles: values of its grams, and counts by word."""
     read = zstandard.ZstdDecompressor()
     keys, values, counts = [np.zeros(0, np.int64)], [np.zeros(0)], {}
-    for row in named.select(["grams", "values", "words", "counts"]).to_pylist():
-        blob = {k: read.decompressobj().decompress(v) for k, v in row.items()}
+    for row in bundles:
+        blob = {k: read.decompressobj().decompress(row[k]) for k in ("grams", "values", "words", "counts")}
         keys.append(np.cumsum(np.frombuffer(blob["grams"], np.int64)))
         values.append(np.frombuffer(blob["values"]))
         if blob["counts"]:
             counts.update(zip(blob["words"].split(b" "), np.frombuffer(blob["counts"]).astype(np.int64).tolist(), strict=True))
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(key)
-    return key[order], value[order], counts
+    return Values(np.concatenate(keys), np.concatenate(values)), counts
 
 
 class Terms(dict):
@@ -338,48 +359,59 @@ class Terms(dict):
         return self.other
 
 
-def score(order: int, tokens: int, kinds: int, ends: int):
+def score_chunk(bundles: list[dict], rows: list[dict], order: int, tokens: int, kinds: int, ends: int):
+    """(ids, held out, tokens, known, base, score) of each packed row of texts."""
     scale = tokens + kinds + 1
-
-    def run(texts: pa.Table, named: pa.Table) -> pa.Table:
-        keys, value, counts = opened(named)
-        rows = [texts.slice(i, 1) for i in range(texts.num_rows)]
-
-        def each():
-            for r in rows:
-                yield r.column("held_out")[0].as_py(), unpacked(r.column("sizes")[0].as_py(), r.column("x")[0].as_py())
-
-        local: Counter = Counter()  # words of this chunk alone have no other counts
-        for held, xs in each():
-            for h, x in zip(held, xs):
-                if not h:
-                    for ws in word_lists(x):
-                        local.update(ws)
-        counts = {**local, **counts}
-        terms, known_words = Terms(counts, scale), {w for w, c in counts.items() if c}
-        del local, counts
-        end = math.log10((ends + 1) / scale)
-        n_tokens, n_known, base, total = [], [], [], []
-        for _, xs in each():
-            for x in xs:
-                n, known, s = 1, int(ends > 0), end
+    value, counts = opened(bundles)
+    local: Counter = Counter()  # words of this chunk alone have no other counts
+    for r in rows:
+        for h, x in zip(r["held_out"], unpacked(r["sizes"], r["x"])):
+            if not h:
                 for ws in word_lists(x):
-                    n += len(ws)
-                    known += sum(map(known_words.__contains__, ws))
-                    s += sum(map(terms.__getitem__, ws))
-                n_tokens.append(n)
-                n_known.append(known)
-                base.append(s)
-            if len(xs) == 1:
-                total.append(float(sum(value[np.searchsorted(keys, g)].sum() for g in slices(xs[0], order))))
-            else:
-                got = value[np.searchsorted(keys, grams(xs, order))]
-                total += np.add.reduceat(got, np.cumsum([0, *map(len, xs[:-1])])).tolist()
-        ids, held = (pa.chunked_array([r.column(c)[0].values for r in rows]) for c in ("ids", "held_out"))
-        size = len(n_tokens)
-        return pa.table({
-            "id": ids, "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array(np.full(size, tokens, np.int64)), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
+                    local.update(ws)
+    counts = {**local, **counts}
+    terms, known_words = Terms(counts, scale), {w for w, c in counts.items() if c}
+    del local, counts
+    end = math.log10((ends + 1) / scale)
+    for r in rows:
+        xs = unpacked(r["sizes"], r["x"])
+        n_tokens, n_known, base = [], [], []
+        for x in xs:
+            n, known, s = 1, int(ends > 0), end
+            for ws in word_lists(x):
+                n += len(ws)
+                known += sum(map(known_words.__contains__, ws))
+                s += sum(map(terms.__getitem__, ws))
+            n_tokens.append(n)
+            n_known.append(known)
+            base.append(s)
+        if len(xs) == 1:
+            total = [float(sum(value(g).sum() for g in slices(xs[0], order)))]
+        else:
+            total = np.add.reduceat(value(grams(xs, order)), np.cumsum([0, *map(len, xs[:-1])])).tolist()
+        yield r["ids"], r["held_out"], n_tokens, n_known, base, total
+
+
+def score(id_type: pa.DataType, order: int, tokens: int, kinds: int, ends: int):
+    """Partitions of whole chunks, bundles (side 0) before texts (side 1)."""
+    def flush(bundles, rows):
+        for ids, held, n, known, base, total in score_chunk(bundles, rows, order, tokens, kinds, ends):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                pa.array(np.full(len(n), tokens, np.int64)), pa.array(base, pa.float64()), pa.array(total, pa.float64())],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def run(batches):
+        chunk, bundles, rows = None, [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                at, side = b.column("chunk")[i].as_py(), b.column("side")[i].as_py()
+                if at != chunk:
+                    yield from flush(bundles, rows)
+                    chunk, bundles, rows = at, [], []
+                cols = ("ids", "held_out", "sizes", "x") if side else ("grams", "values", "words", "counts")
+                (rows if side else bundles).append({c: b.column(c)[i].as_py() for c in cols})
+        yield from flush(bundles, rows)
     return run
 
 
@@ -419,7 +451,13 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER,
     value = cut(probabilities(cut(grams_of.groupBy("gram").agg(F.sum("n").alias("n"))), order))
     known = grams_of.select("chunk", "gram").join(value, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "value")
     known = known.unionByName(words.select("chunk", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value")))
-    known = known.mapInArrow(bundle, "chunk bigint, n bigint, grams binary, values binary, words binary, counts binary")
-    return laid.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        score(order, tokens + ends, kinds + (1 if ends else 0), ends),
+    known = known.mapInArrow(bundle, "chunk bigint, grams binary, values binary, words binary, counts binary")
+    # a partition a chunk: one row a chunk is numbered
+    chunks = laid.select("chunk").distinct().withColumn("part", F.row_number().over(Window.orderBy("chunk")) - 1)
+    chunks = cut(chunks)
+    every = laid.withColumn("side", F.lit(1)).unionByName(known.withColumn("side", F.lit(0)), allowMissingColumns=True).join(chunks, "chunk")
+    dealt = every.repartitionById(max(1, chunks.count()), F.col("part")).sortWithinPartitions("chunk", "side").drop("part")
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+    return dealt.mapInArrow(
+        score(id_type, order, tokens + ends, kinds + (1 if ends else 0), ends),
         f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -174,11 +174,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(id, fp, component_id)``: each row's fingerprint and the smallest
-    id reachable over links. Runs jobs (fingerprints and links are written
-    to the shared folder)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` by row, and ``(fp, component_id, root)``: the group's
+    smallest id and its smallest fingerprint, which names it."""
     marked = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
     joined = components(links(distinct.select("fp"), max_bits))
@@ -186,8 +184,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = distinct.join(root, "fp")
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     # only linked fingerprints can change their group id
-    moved = cut(linked.join(low, "root").select("fp", "component_id"))
-    named = cut(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    moved = cut(linked.join(low, "root").select("fp", "root", "component_id"))
+    named = cut(distinct.join(moved, "fp", "left").select(
+        "fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return marked, named
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(id, fp, component_id)``: each row's fingerprint and the smallest
+    id reachable over links. Runs jobs (fingerprints and links are written
+    to the shared folder)."""
+    marked, named = _grouped(docs, id_col, text_col, words, max_bits)
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
@@ -198,11 +206,37 @@ def hex_fingerprint(col="fp"):
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose id is their group's smallest;
-    repeated rows of that id count once. Rows with a null id stay."""
-    chosen = cut(groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, max_bits)
-                 .where("id = component_id").groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("__rows")))
-    kept = docs.join(chosen.select("__keep"), F.col(id_col).cast("bigint") == F.col("__keep"), "left_semi")
-    if not chosen.where("__rows > 1").isEmpty():  # only then is there a row to drop
-        kept = kept.dropDuplicates([id_col])
+    """One row (all columns) of each group: that of the group's smallest id.
+    Where several of its rows have that id, as repeated rows or because ids
+    repeat, the one with the smallest fingerprint stays, then the one with the
+    smallest hash of all columns. Groups that share an id keep a row each.
+    Rows with a null id stay."""
+    marked, named = _grouped(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, max_bits)
+    first = marked.join(named, "fp").where("id = component_id")
+    chosen = cut(first.groupBy("root").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
+    own = F.col(id_col).cast("bigint")
+    repeated = cut(marked.groupBy("id").count().where("count > 1").join(chosen.select("id"), "id", "left_semi").select(F.col("id").alias("__keep")))
+    kept = docs.join(chosen.select(F.col("id").alias("__keep")), own == F.col("__keep"), "left_semi")
+    if not repeated.isEmpty():  # only then do ids not name rows
+        several = docs.join(repeated, own == F.col("__keep"), "left_semi")
+        kept = kept.join(repeated, own == F.col("__keep"), "left_anti").unionByName(_first_rows(several, chosen, id_col, text_col, words))
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _first_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """One row of ``docs`` for every ``(id, fp)`` of ``chosen`` that it has."""
+    cols = docs.columns
+    at = cols.index(text_col)
+
+    def run(batches):
+        for b in small(batches, at):
+            fp = np.array([fingerprint(t, words) for t in b.column(at).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*cols, "__fp"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = docs.mapInArrow(run, f"{types}, `__fp` bigint")
+    key = chosen.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
+    mine = marked.withColumn("__id", F.col(id_col).cast("bigint")).join(key, ["__id", "__fp"], "left_semi")
+    row = F.struct(*[F.col(c) for c in cols])
+    one = mine.groupBy("__id", "__fp").agg(F.min_by(row, F.xxhash64(*cols)).alias("__row"))
+    return one.select("__row.*")
