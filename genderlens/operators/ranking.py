@@ -92,21 +92,27 @@ def rank_by_numeric(df: DataFrame, key: str, out: str = "rank", buckets: int | N
 
 
 def dense_id(df: DataFrame, order_key: str, out: str = "ID", tie: str | None = None) -> DataFrame:
-    """0..n-1 in row order, where the unique ``order_key`` defines the row
-    order; rows without a key come last, by the unique column ``tie`` (without
-    one in the order in which they are read).
-
-    Only the key column is ranked (and written once, so Spark knows its
-    size); the ids are joined back, so wide rows move only if the table of
-    ids is too large to broadcast. Rows without a key are ranked by ranges of
-    ``tie``, or numbered where they lie, so any share of them is dealt over
-    the tasks. Runs jobs."""
+    """0..n-1 in the order of ``order_key``, rows without a key last; equal
+    keys and rows without one go by the column ``tie`` (without one in the order
+    in which they lie).
+
+    Where the key is unique only the key column is ranked (and written once,
+    so Spark knows its size); the ids are joined back, so wide rows move only
+    if the table of ids is too large to broadcast. Where keys repeat the rows
+    themselves are ranked by ranges of (key, tie), and every row keeps exactly
+    one id. Rows without a key are ranked by ranges of ``tie``, or numbered
+    where they lie, so any share of them is dealt over the tasks. Runs jobs."""
     known, rest = df.where(F.col(order_key).isNotNull()), df.where(F.col(order_key).isNull())
-    ids = sized(rank_by_numeric(known.select(order_key), order_key, out))
+    ids = sized(known.select(order_key))
+    n = ids.count()
+    if ids.groupBy(order_key).count().where("count > 1").isEmpty():
+        ids = sized(rank_by_numeric(ids, order_key, out))
+        first = ids if df.columns == [order_key] else known.join(ids, order_key)
+    else:
+        first = rank_by_order(known, [F.col(order_key)] + ([_last(tie)] if tie else []), out)
     last = _number(sized(rest.withColumn("__at", F.monotonically_increasing_id())), out) if tie is None \
         else rank_by_order(rest, [_last(tie)], out)
-    last = last.select(*df.columns, (F.col(out) + F.lit(ids.count())).alias(out))
-    first = ids if df.columns == [order_key] else known.join(ids, order_key)
+    last = last.select(*df.columns, (F.col(out) + F.lit(n)).alias(out))
     return first.select(*df.columns, out).unionByName(last)
 
 
@@ -121,6 +127,26 @@ def rank_by_order(df: DataFrame, order: list[Column], out: str = "rank") -> Data
     return _number(sized(laid.withColumn("__at", F.monotonically_increasing_id())), out, b)
 
 
+def file_order_id(scan: DataFrame, out: str = "ID") -> DataFrame:
+    """C3 without a key: 0..n-1 in the order of the files (by path) and of the
+    rows in them. ``scan`` is read from files and may be filtered.
+
+    A row's position is (file, byte range, place in the range); only the
+    ranges, one row each, are counted and summed up, so no row of ``scan`` is
+    shuffled, and repeated rows or keys are rows like any other. Runs a job."""
+    x = scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+                    F.monotonically_increasing_id().alias("__at"))
+    ranges = sized(x.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")))
+    in_file = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("__file").agg(F.sum("__n").alias("__n"))
+    sizes = sizes.select("__file", F.coalesce(F.sum("__n").over(  # one row a file
+        Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    offsets = ranges.withColumn("__off", F.coalesce(F.sum("__n").over(in_file), F.lit(0))).join(sizes, "__file").select(
+        "__file", "__start", (F.col("__before") + F.col("__off") - F.col("__first")).alias("__shift"))
+    shift = F.coalesce("__shift", F.raise_error(F.lit("byte ranges changed between the passes: fix spark.sql.files.minPartitionNum")).cast("bigint"))
+    return x.join(offsets, ["__file", "__start"], "left").withColumn(out, (F.col("__at") + shift).cast("long")).drop("__file", "__start", "__at", "__shift")
+
+
 def _number(laid: DataFrame, out: str, parts: int | None = None) -> DataFrame:
     """Ranks from the written ``__at``: partition number (of at most
     ``parts``) and place in it."""

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rand import hash_uniform
+from ..session import sized
+from .joins import head_of, join_hot
 from .ranking import default_buckets, rank_by_uniform
 
 
-MAX_LABELS = 1000
-
-
 def order_key(id_col: str | Column, seed: int) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat_ws(":", c.cast("string"), F.lit(str(seed))))
@@ -39,14 +38,11 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int, out: str = "rank",
                            out, group=group, group_card=group_card)
 
 
-def _cut_keys(df: DataFrame, id_col: str, seed: int, n_test: dict, group: str | None,
-              buckets: int) -> dict:
-    """Per group, the (key, id) of the row at 0-based seeded position
-    ``n_test[g] - 1``. Only narrow columns are read: per-bucket counts
-    (one row per bucket and group) locate the bucket holding the cut, and
-    only that bucket's rows are ranked."""
-    gcol = F.col(group) if group else F.lit(0)
-    x = df.select(gcol.alias("__g"), F.col(id_col).alias("__id"),
+def _cut_keys(df: DataFrame, id_col: str, seed: int, n_test: dict, buckets: int) -> dict:
+    """The (key, id) of the row at 0-based seeded position ``n_test[0] - 1``.
+    Only narrow columns are read: per-bucket counts locate the bucket holding
+    the cut, and only that bucket's rows are ranked."""
+    x = df.select(F.lit(0).alias("__g"), F.col(id_col).alias("__id"),
                   F.floor(key_uniform(id_col, seed) * buckets).cast("int").alias("__b"),
                   order_key(id_col, seed).alias("__k"))
     counts = {}
@@ -83,13 +79,11 @@ def _buckets(df: DataFrame, n: int, buckets: int | None) -> int:
     return buckets or max(default_buckets(df), math.ceil(n / 2_000_000))
 
 
-def _assign(df: DataFrame, id_col: str, seed: int, cuts: dict, group: str | None) -> DataFrame:
+def _assign(df: DataFrame, id_col: str, seed: int, cuts: dict) -> DataFrame:
     k, i = order_key(id_col, seed), F.col(id_col)
-    gcol = F.col(group) if group else F.lit(0)
     test = F.lit(False)
-    for g, (kt, it) in cuts.items():
-        at_or_before = (k < F.lit(kt)) | ((k == F.lit(kt)) & (i <= F.lit(it)))
-        test = F.when(gcol.eqNullSafe(F.lit(g)), at_or_before).otherwise(test)
+    for kt, it in cuts.values():
+        test = (k < F.lit(kt)) | ((k == F.lit(kt)) & (i <= F.lit(it)))
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
@@ -101,24 +95,40 @@ def split(df: DataFrame, id_col: str = "ID", test_size: float = 0.3, seed: int =
     The rows themselves are never shuffled: narrow passes find the cut key
     (see ``_cut_keys``) and each row is labelled by comparing with it."""
     n = df.count()
-    cuts = _cut_keys(df, id_col, seed, {0: math.ceil(test_size * n)}, None, _buckets(df, n, buckets))
-    return _assign(df, id_col, seed, cuts, None)
+    cuts = _cut_keys(df, id_col, seed, {0: math.ceil(test_size * n)}, _buckets(df, n, buckets))
+    return _assign(df, id_col, seed, cuts)
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str = "ID", test_size: float = 0.3,
                      seed: int = 123, buckets: int | None = None) -> DataFrame:
     """Q2: the same per label: test = first ceil(test_size * n_label) rows of
-    each label's seeded order. Label sizes are one small aggregation; a
-    dominant label costs no more than the others (no per-label task). Runs
-    jobs. The label values come to the driver: at most ``MAX_LABELS`` of
-    them, more is an error (a label is a class, not a key)."""
-    found = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"{label} has more than {MAX_LABELS} values")
-    sizes = {r[label]: r["n"] for r in found}
-    b = _buckets(df, sum(sizes.values()), buckets)
-    cuts = _cut_keys(df, id_col, seed, {g: math.ceil(test_size * n) for g, n in sizes.items()}, label, b)
-    return _assign(df, id_col, seed, cuts, label)
+    each label's seeded order, for any number of labels (null is one).
+
+    All cuts are found at once on tables. Narrow rows are counted by label
+    and hash bucket; a running sum over a label's buckets names the bucket that
+    holds its cut, only the rows of these buckets are ranked, and the cut keys
+    (a row per label) are joined to the rows. A dominant label has many buckets,
+    and its cut is broadcast with those of the other frequent labels. Runs
+    jobs; nothing is collected but the row count."""
+    b = _buckets(df, df.count(), buckets)
+    g = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null"))
+    x = df.select(g.alias("__g"), F.col(id_col).alias("__id"), F.floor(key_uniform(id_col, seed) * b).cast("int").alias("__b"),
+                  order_key(id_col, seed).alias("__k"))
+    counts = sized(x.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__c")))
+    sizes = sized(counts.groupBy("__g").agg(F.sum("__c").alias("n")))
+    run = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most ``b`` rows
+    need = F.ceil(F.lit(test_size) * F.col("n"))
+    seen = counts.withColumn("__s", F.sum("__c").over(run)).join(sizes.select("__g", need.alias("__need")), "__g")
+    target = sized(seen.where((F.col("__s") >= F.col("__need")) & (F.col("__s") - F.col("__c") < F.col("__need")))
+                   .select("__g", "__b", (F.col("__need") - (F.col("__s") - F.col("__c"))).alias("__at")))
+    w = Window.partitionBy("__g").orderBy("__k", "__id")  # one bucket of a label
+    cuts = sized(x.join(target, ["__g", "__b"]).withColumn("__r", F.row_number().over(w)).where("__r = __at")
+                 .select("__g", F.col("__k").alias("__kt"), F.col("__id").alias("__it")))
+    y = df.withColumn("__g", g)
+    y = join_hot(y, cuts, "__g", lambda: head_of(sizes, "__g"), "left")
+    k, i = order_key(id_col, seed), F.col(id_col)
+    test = F.coalesce((k < F.col("__kt")) | ((k == F.col("__kt")) & (i <= F.col("__it"))), F.lit(False))
+    return y.select(*df.columns, F.when(test, "test").otherwise("train").alias("split"))
 
 
 def _by_split(masked: DataFrame, tag: str, train: list, test: list) -> DataFrame:

@@ -8,8 +8,9 @@ from ..functions.cleaning import (danish_date_fixed, danish_date_parity, label_e
                                   sentiment, strip_author)
 from ..functions.text import clean_name, clean_text
 from ..operators.clean import clean_reviews, drop_neutral, length_gate, project_variant
-from ..operators.ranking import dense_id
+from ..operators.ranking import dense_id, file_order_id
 from ..sources import fixtures as fx
+from ..sources.csv import scratch_path
 from ..sources.tables import read_table
 from .registry import register
 
@@ -74,6 +75,26 @@ def q_dense_id_nulls(spark, sf):
     return dense_id(d.where(F.col("key").isNotNull()).unionByName(one), "key", "ID", tie="doc_id").select("doc_id", "n_chars", "ID")
 
 
+@register("dense_id_nulls_all", """SELECT doc_id, n_chars, (row_number() OVER (ORDER BY key NULLS LAST, doc_id) - 1)::BIGINT AS ID
+FROM (SELECT doc_id, n_chars, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS key FROM documents)""")
+def q_dense_id_nulls_all(spark, sf):
+    """Keys that repeat and a fifth of them null: every row gets one id, ties
+    and null keys go by ``doc_id``."""
+    d = read_table(spark, sf, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("key"))
+    return dense_id(d, "key", "ID", tie="doc_id").select("doc_id", "n_chars", "ID")
+
+
+@register("dense_id_file_order", """SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS ID
+FROM (SELECT doc_id, n_chars FROM documents UNION ALL SELECT doc_id, n_chars FROM documents)""")
+def q_dense_id_file_order(spark, sf):
+    """A table of many files in which every row stands twice, numbered in the
+    order of the files."""
+    d = read_table(spark, sf, "documents").select("doc_id", "n_chars")
+    path = f"{scratch_path(spark, 'order')}.parquet"
+    d.union(d).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return file_order_id(spark.read.parquet(path))
+
+
 @register("danish_date", fx.with_views(
     f"SELECT doc_id, Date AS raw_date, {DATE_PARITY_SQL.format(c='Date')} AS Date FROM reviews",
     "reviews"))

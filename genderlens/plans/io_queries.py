@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import csv as C
+from ..sources import csv_scan as CS
 from ..sources import fixtures as fx
 from ..sources.html import scrape_pages
 from .clean_queries import CLEAN_REVIEWS_SQL, q_clean_reviews
@@ -105,6 +106,53 @@ def q_csv_append(spark, sf):
     return C.read_csv(spark, path, METRICS_SCHEMA)
 
 
+@register("csv_split_scan", CLEAN_REVIEWS_SQL)
+def q_csv_split_scan(spark, sf):
+    """One CSV file of the cleaned reviews, line ends and quotes in the texts,
+    read by as many tasks as it has byte ranges."""
+    path = C.scratch_path(spark, "split")
+    C.write_csv(q_clean_reviews(spark, sf).coalesce(1), path)
+    rows, _ = CS.scan(spark, path, CLEAN_SCHEMA)
+    return rows.drop("file", "start", "place")
+
+
+REJECT_SQL = """d AS (SELECT doc_id, coalesce(source, '') AS source, n_chars, doc_id % 7 AS kind FROM documents)"""
+
+
+@register("csv_rejects", f"""WITH {REJECT_SQL}
+SELECT doc_id, source, n_chars, NULL::VARCHAR AS reason, NULL::VARCHAR AS record FROM d WHERE kind NOT IN (3, 5)
+UNION ALL SELECT NULL, NULL, NULL, 'fields', doc_id || ',' || source FROM d WHERE kind = 3
+UNION ALL SELECT NULL, NULL, NULL, 'n_chars', doc_id || ',' || source || ',' || 'many' FROM d WHERE kind = 5""")
+def q_csv_rejects(spark, sf):
+    """Two files of the same table, one with its columns in another order; by
+    the id some lines lack a field and some hold a word for a number. Every
+    line is either a typed row or a rejected record with its reason."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_chars", (F.col("doc_id") % 7).alias("kind"))
+    broken = F.concat_ws(",", "doc_id", "source", F.when(F.col("kind") == 5, "many").when(F.col("kind") != 3, F.col("n_chars").cast("string")))
+    turned = F.concat_ws(",", "n_chars", "doc_id", "source")
+    root = C.scratch_path(spark, "rejects")
+    even = F.col("kind") % 2 == 0
+    for name, rows, line, head in (("plain", d.where(~even), broken, "doc_id,source,n_chars"), ("turned", d.where(even), turned, "n_chars,doc_id,source")):
+        x = rows.select(line.alias("line"), F.lit(1).alias("o"), "doc_id").unionByName(
+            spark.range(1).select(F.lit(head).alias("line"), F.lit(0).alias("o"), F.lit(0).cast("long").alias("doc_id")))
+        C.write_lines_in_order(x, "line", ["o", "doc_id"], f"{root}/{name}")
+    rows, rejects = CS.scan(spark, [f"{root}/plain", f"{root}/turned"], "doc_id long, source string, n_chars long")
+    return rows.select("doc_id", "source", "n_chars").unionByName(rejects.select("reason", "record"), allowMissingColumns=True)
+
+
+@register("csv_append_replayed", f"WITH m AS ({BINARY_SQL})\nSELECT * FROM m UNION ALL SELECT * FROM m")
+def q_csv_append_replayed(spark, sf):
+    """Two runs append; the first is replayed after it was committed, and an
+    attempt at the second wrote its files without a commit."""
+    path = C.scratch_path(spark, "runs")
+    m = binary_metrics_df(spark, sf)
+    CS.append_run(m, path, "a")
+    CS.append_run(m, path, "a")
+    C.write_csv(m, f"{path}/run=b/dead")
+    CS.append_run(m, path, "b")
+    return CS.read_runs(spark, path, METRICS_SCHEMA)
+
+
 _MCOLS = ["Model_type", "Gender", "Model", "Accuracy", "Precision", "Recall", "F1 Score"]
 
 

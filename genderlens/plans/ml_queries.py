@@ -6,14 +6,17 @@ shape."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import label_encode
 from ..operators import bias as B
+from ..operators import epochs as E
 from ..operators import metrics as M
 from ..operators import ml
 from ..operators import splits as S
-from ..session import sized
+from ..session import checkpoint_dir, sized
 from .metric_queries import binary_sql
 from .registry import register
 from .split_queries import (DELETION_SQL, LABELLED_SQL, MASKED_SPLIT_SQL, SWAP_RESULT, augmented_from, key_sql, labelled_clean,
@@ -171,6 +174,31 @@ def q_training_chain_metrics(spark, sf):
     return M.binary_metrics(training_chain(spark, sf), ["Model"])
 
 
+EPOCHS = E.Settings(epochs=8, batches=2)
+
+
+@register("training_epochs")
+def q_training_epochs(spark, sf):
+    """M1 with M7-M9: training and validation figures of every epoch up to the
+    early stop, on the stratified split of the labelled texts."""
+    ls = sized(S.stratified_split(labelled_clean(spark, sf), "label", "ID"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex}"
+    got = E.train(ls.where(F.col("split") == "train"), ls.where(F.col("split") == "test"), path, EPOCHS)
+    return got.select("epoch", *[F.round(c, 6).alias(c) for c in got.columns[1:]])
+
+
+@register("trial_records")
+def q_trial_records(spark, sf):
+    """Three trials of the epoch-wise trainer, each recorded by an
+    append; settings as a sorted list of name=value."""
+    ls = sized(S.stratified_split(labelled_clean(spark, sf), "label", "ID"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    got = E.search(ls.where(F.col("split") == "train"), ls.where(F.col("split") == "test"), path, E.draws(3, epochs=(2, 3)))
+    entries = F.array_sort(F.map_entries("params"))
+    return got.select("trial", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("params"),
+                      F.round("best_val_loss", 6).alias("best_val_loss"), "warmup")
+
+
 ALPHAS = ml.smoothing_draws()
 
 

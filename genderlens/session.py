@@ -115,3 +115,13 @@ def spread(df: DataFrame, factor: int = 2, pieces: int = 8) -> DataFrame:
         return df
     target = min(par * factor, max(1, parts) * pieces)
     return df.repartition(target) if parts < target else df
+
+
+def small_batches(batches, column: int, limit: int = 1 << 20):
+    """Cut Arrow record batches so that a text column holds about ``limit``
+    bytes each (one row at least): a batch has a bound on its rows only, and as
+    Python objects long texts would take a worker's memory."""
+    for b in batches:
+        step = max(1, b.num_rows * limit // max(b.column(column).nbytes, 1))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 #: Classes of the blocks of a review page, and its full stars.
 BLOCKS = ("published", "author", "rating", "text")
 STAR = "star-black.png"
@@ -112,7 +114,7 @@ def scrape_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     keep = [c for c in pages.columns if c not in (html_col, url_col, *new)]
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, len(keep) + 1):
             rows = [review_fields(p) for p in b.column(len(keep) + 1).to_pylist()]
             title, date, author, rating, review = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 5
             made = [pa.array(title, pa.string()), b.column(len(keep)), pa.array(author, pa.string()), pa.array(date, pa.string()),

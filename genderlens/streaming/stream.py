@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 from ..operators.terms import masked_table
 from ..session import checkpoint_dir
+from ..sources import files
 from ..sources import lexicon as lx
 from ..sources.tables import table_path
 
 
 def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
-    """Documents table as a file stream (schema taken from the batch table)."""
+    """Documents table as a file stream (schema taken from the batch table).
+    A table with fewer splits than the cores is dealt round-robin to twice as
+    many tasks as there are cores; at scale the files' splits are the tasks."""
     path = table_path(sf_dir, "documents")
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if path.endswith(".parquet") and os.path.isfile(path):
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if path.endswith(".parquet") and files.is_file(spark, path):
         # a single-file table: watch its folder, filtered to that file
-        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
-    return reader.parquet(path)
+        stream = reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    else:
+        stream = reader.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(2 * cores) if table.rdd.getNumPartitions() < cores else stream
 
 
 def masked_stream(docs: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ early-stop properties."""
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from genderlens.functions.cleaning import (danish_date_fixed, danish_date_parity, label_encode,
                                            sentiment, strip_author)
 from genderlens.functions.text import clean_text, ws_words
+from genderlens.operators import analytics as P
 from genderlens.operators import augment as A
 from genderlens.operators import splits as S
 from genderlens.operators.metrics import early_stop
@@ -116,3 +119,47 @@ def test_splits_independent_of_partitioning(spark):
     c = {r.ID: r.split for r in S.split(df.repartition(5), buckets=7).collect()}
     d = {r.ID: r.split for r in S.split(df.repartition(9)).collect()}
     assert a == b and c == d
+
+
+def test_stratified_split_of_many_labels(spark):
+    """100,000 labels, one of them with a third of the rows: exact, and the
+    same with the cuts broadcast or shuffled."""
+    many = spark.range(200_000).selectExpr("id as ID", "concat('g', id div 2) as label")
+    large = spark.range(200_000, 300_000).selectExpr("id as ID", "'large' as label")
+    few = spark.range(300_000, 300_010).selectExpr("id as ID", "cast(null as string) as label")
+    df = many.union(large).union(few)
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = S.stratified_split(df, "label")
+            sizes = got.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t"))
+            assert sizes.where("t <> ceil(0.3D * n)").count() == 0 and sizes.count() == 100_002
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    small = df.where("ID >= 299000")
+    keys = {r.ID: r.k for r in small.select("ID", S.order_key("ID", 123).alias("k")).collect()}
+    split = {r.ID: r.split for r in S.stratified_split(small, "label").collect()}
+    for ids in ([i for i in keys if i < 300_000], [i for i in keys if i >= 300_000]):
+        ordered = sorted(ids, key=lambda i: (keys[i], i))
+        n = math.ceil(0.3 * len(ids))
+        assert [split[i] for i in ordered] == ["test"] * n + ["train"] * (len(ids) - n)
+
+
+def test_continuous_columns_have_exact_order_statistics(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.lognormal(3, 4, 1001), np.r_[np.zeros(500), rng.standard_normal(501) * 1e-300], np.array([5.0]), np.array([1.0, np.nextafter(1, 2)] * 3),
+                   np.array([-1.7e308, 1.7e308, 3.0, -math.inf, math.inf]), np.repeat([1.0, 2.0, 7.0], 100)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (math.nan,)], "Rating double")
+        n = len(values)
+        assert P.order_statistics(df, "Rating", [0, n // 2, n - 1]) == np.sort(values)[[0, n // 2, n - 1]].tolist()
+    values = rng.gamma(2, 1.5, 2000)
+    df = spark.createDataFrame([(float(v),) for v in values], "Rating double")
+    s = P.rating_summary(df).first()
+    assert s.median == pytest.approx(np.median(values), abs=1e-9) and s.n == 2000
+    x = np.arange(29) * 0.25
+    bw = values.std(ddof=1) * 2000 ** -0.2
+    want = np.exp(-0.5 * ((x[:, None] - values) / bw) ** 2).sum(1) / (2000 * bw * math.sqrt(2 * math.pi))
+    got = [r.density for r in P.rating_kde(df).orderBy("x").collect()]
+    assert got == pytest.approx(want, abs=1e-4)
+    empty = df.limit(0)
+    assert P.rating_summary(empty).first().n == 0 and P.rating_kde(empty).count() == 0 and P.rating_kde(df.limit(1)).count() == 0

@@ -28,11 +28,13 @@ def test_oracle_keys_are_queries():
     assert len(entry.queries()) >= 60
 
 
-@pytest.mark.parametrize("name", ["mask_male", "mask_female", "mask_neutral", "masked_table",
+@pytest.mark.parametrize("name", ["mask_male", "mask_female", "mask_neutral", "masked_table", "term_counts", "term_total",
+                                  "pronoun_total", "mask_male_names", "mask_female_names", "mask_male_multiword",
+                                  "mask_female_multiword", "masked_table_names",
                                   "random_deletion", "random_swap", "binary_metrics"])
 def test_no_python_in_plan(spark, name):
     p = plan_of(entry.queries()[name](spark, SF))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInArrow", "MapInPandas"):
         assert node not in p, name
 
 
