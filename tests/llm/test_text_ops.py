@@ -123,6 +123,25 @@ def test_simhash_keeps_one_of_each_group(spark, odd_texts):
 
 # ---- suffix dedup -----------------------------------------------------------------
 
+def test_simhash_keeps_a_row_of_every_group_when_ids_repeat(spark):
+    """One id on unlinked texts, on copies, and on a near copy of an earlier id's text."""
+    a, b, c, d = (prose(i, 60) for i in (1, 2, 3, 4))
+    near = a.replace(a.split()[7], "other", 1)
+    rows = [(5, a), (5, b), (5, a), (7, c), (7, c), (7, near), (8, d), (8, "x " + d), (9, b), (None, a)]
+    df = spark.createDataFrame([(i, t, "clash", n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, fp string, root int").repartition(4)
+    got = simhash.keep_one(df).collect()
+    assert len(got) == len(set(got)) and got[0].__fields__ == df.columns
+    kept = [r for r in got if r.doc_id is not None]
+    fps = [plain_fingerprint(t) for _, t in rows[:-1]]
+    place = plain_groups(list(range(len(fps))), fps, simhash.MAX_BITS)
+    assert len(set(place.values())) == len(kept) == 4
+    for g in set(place.values()):
+        mine = [i for i in place if place[i] == g]
+        found = [r for r in kept if plain_fingerprint(r.text) in {fps[i] for i in mine}]
+        assert [r.doc_id for r in found] == [min(rows[i][0] for i in mine)]
+    assert [r for r in got if r.doc_id is None][0].text == a
+
+
 def plain_removal(docs, length=100):
     seen, out = set(), {}
     for i, t in docs:
