@@ -21,8 +21,8 @@ def put(spark, name, text):
 
 @pytest.fixture
 def small_ranges(spark):
-    """Byte ranges of about 200 bytes."""
-    names = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1000"}
+    """Byte ranges of 1,500 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
     for k, v in names.items():
         spark.conf.set(k, v)
     yield
@@ -48,7 +48,7 @@ def test_split_scan_equals_the_multiline_reader(spark, small_ranges, limit):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert bad.count() == 0
-    assert len({r.start for r in got}) > 50  # many tasks read the one file
+    assert len({r.start for r in got}) > 8  # many tasks read the one file
     assert sorted((r.id, r.v, r.w) for r in got) == sorted(rows, key=lambda r: r[0])
     whole = C.read_csv(spark, path, SCHEMA).collect()
     assert sorted(map(tuple, whole)) == sorted((r.id, r.v, r.w) for r in got)
@@ -64,8 +64,8 @@ def test_records_of_odd_files(spark, small_ranges):
     assert of("a,b") == ["a,b"]
     assert of('a,"b\nc"\n\nd') == ['a,"b\nc"', "d"]
     assert of('a\r\n"x\r\ny"\r\n') == ["a", '"x\r\ny"']
-    assert of('a\n"never closed\n' + "line\n" * 200) == ["a", '"never closed\n' + "line\n" * 199 + "line"]
-    assert of("line\n" * 500) == ["line"] * 500
+    assert of('a\n"never closed\n' + "line\n" * 900) == ["a", '"never closed\n' + "line\n" * 899 + "line"]
+    assert of("line\n" * 900) == ["line"] * 900
 
 
 def test_rejects_and_headers(spark):
@@ -73,8 +73,7 @@ def test_rejects_and_headers(spark):
     turned = put(spark, "t", "w,id,v\nW,7,V\nW,8\n")
     other = put(spark, "o", "id,name,w\n9,a,b\n")
     rows, bad = CS.scan(spark, [plain, turned, other], SCHEMA)
-    assert sorted(((r.id, r.v, r.w) for r in rows.collect()), key=str) == sorted([(1, "a", "b"), (5, None, None), (6, 'q"q', None), (7, "V", "W")], key=str) \
-        or sorted((r.id for r in rows.collect())) == [1, 5, 6, 7]
+    assert sorted((r.id, r.v, r.w) for r in rows.collect()) == [(1, "a", "b"), (5, None, None), (6, 'q"q', None), (7, "V", "W")]
     assert sorted((r.reason, r.record) for r in bad.collect()) == sorted(
         [("fields", "2,only"), ("id", "x,a,b"), ("fields", '4,"a\nb",c,d'), ("fields", "W,8"), ("header", "9,a,b")])
     none, bad = CS.scan(spark, put(spark, "h", "id,v,w\n"), SCHEMA)
