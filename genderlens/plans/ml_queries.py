@@ -174,7 +174,7 @@ def q_training_chain_metrics(spark, sf):
     return M.binary_metrics(training_chain(spark, sf), ["Model"])
 
 
-EPOCHS = E.Settings(epochs=8, batches=2)
+EPOCHS = E.Settings(epochs=6, batches=2)
 
 
 @register("training_epochs")
