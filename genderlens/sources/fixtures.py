@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import argmax
+from ..session import spread
 from .tables import read_table
 
 # Danish month abbreviations and full names, January to December.
@@ -136,18 +137,20 @@ def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside other names (the first four letters of a word), and pairs where
     deleting one inside a word leaves the other."""
     from ..functions.text import clean_text
-    d = read_table(spark, sf_dir, "documents").select(clean_text("text").alias("t"))
+    d = spread(read_table(spark, sf_dir, "documents").select("text")).select(clean_text("text").alias("t"))
 
-    def drawn(pattern, share):
+    def drawn(pattern, share, single):
         found = F.array_distinct(F.regexp_extract_all(F.col("t"), F.lit(pattern), 0))
-        return d.select(F.explode(F.filter(found, lambda w: F.md5(w) < share)).alias("w")).distinct()
-
-    words = drawn(r"[\p{L}]{5,}", "01").withColumn("k", F.substring(F.md5("w"), 5, 1))
-    inner = words.where("k < '4'").select(F.substring("w", 1, 4).alias("w"))
-    long = words.where("k between '4' and '7' and length(w) >= 9")
-    names = (words.select("w").union(drawn(r"[\p{L}]{3,} [\p{L}]{3,}", "004")).union(inner)
-             .union(long.select(F.substring("w", 3, 5).alias("w")))
-             .union(long.select(F.expr("concat(substring(w, 1, 2), substring(w, 8))").alias("w"))).distinct())
+        return F.transform(F.filter(found, lambda w: F.md5(w) < share),
+                           lambda w: F.struct(w.alias("w"), F.lit(single).alias("single")))
+
+    # one scan; the other forms come from the distinct words
+    words = d.select(F.explode(F.concat(drawn(r"[\p{L}]{5,}", "01", True), drawn(r"[\p{L}]{3,} [\p{L}]{3,}", "004", False))).alias("x"))
+    words = words.select("x.*").distinct().withColumn("k", F.substring(F.md5("w"), 5, 1))
+    long = F.col("single") & F.col("k").between("4", "7") & (F.length("w") >= 9)
+    forms = F.array(F.col("w"), F.when(F.col("single") & (F.col("k") < "4"), F.substring("w", 1, 4)),
+                    F.when(long, F.substring("w", 3, 5)), F.when(long, F.expr("concat(substring(w, 1, 2), substring(w, 8))")))
+    names = words.select(F.explode(forms).alias("w")).where("w is not null").distinct()
     h = F.md5("w")
     return names.select(
         F.concat(F.lit(" "), F.col("w"), F.lit(". ")).alias("name"),

@@ -92,11 +92,14 @@ _NAME_BASE = 1_000_000          # names sit after the fixed pairs ...
 _ONE_SIDED_BASE = 10 ** 15      # ... and before the one-sided terms
 
 
-def _entries_df(spark: SparkSession, rows, cols=("term", "repl", "pos")) -> DataFrame:
-    """Fixed entries as a JVM-side literal relation (no Python-backed scan)."""
-    arr = F.array(*[F.struct(F.lit(t).cast("string").alias("term"), F.lit(r).cast("string").alias("repl"),
-                             F.lit(p).cast("long").alias("pos")) for t, r, p in rows])
-    return spark.range(1).select(F.inline(arr)).select(*cols)
+def _entries_df(spark: SparkSession, rows) -> DataFrame:
+    """Fixed entries as a literal relation (no Python-backed scan), parsed in
+    one call instead of a call per value."""
+    def text(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    values = ", ".join(f"({text(t)}, {text(r)}, {p}L)" for t, r, p in rows)
+    return spark.sql(f"SELECT term, repl, pos FROM VALUES {values} AS entries(term, repl, pos)")
 
 
 def lexicon_frame(spark: SparkSession, direction: str, names: DataFrame | None = None) -> DataFrame:
