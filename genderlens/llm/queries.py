@@ -25,11 +25,11 @@ def page_document(url):
 
 def op1_url_filter(spark, sf_dir):
     """A page's outcome is good if the document that it shows is labelled of
-    quality and not toxic."""
+    quality and not toxic; a label that lacks either mark tells nothing."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     number = page_document(F.col("url"))
     shown = pages.select("url", F.when(number != "", number).cast("bigint").alias("doc_id"))
-    labels = table(spark, sf_dir, "labels")
+    labels = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
     outcomes = shown.join(labels, "doc_id").select("url", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     return url_filter.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
 

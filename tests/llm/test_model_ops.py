@@ -39,6 +39,19 @@ def test_url_rules_and_parts(spark):
     assert {r.verdict for r in got.values()} == {"allow", "block"}
 
 
+def test_url_query_skips_half_labelled_documents(spark, tmp_path):
+    """A document with one mark only must count neither as good nor as bad."""
+    def verdicts(folder, more):
+        spark.createDataFrame([(i, f"http://h{i % 2}.org/p/{i}") for i in range(40)], "page_id bigint, url string").write.parquet(f"{folder}/pages.parquet")
+        some = [(i, 1, 0) for i in range(0, 20, 2)] + [(i, 0, 1) for i in range(1, 20, 2)] + more
+        spark.createDataFrame(some, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        return sorted(map(tuple, queries.op1_url_filter(spark, str(folder)).collect()), key=str)
+
+    half = [(i, 0, None) for i in range(20, 40, 2)] + [(i, None, 1) for i in range(20, 40, 2)]
+    plain = verdicts(tmp_path / "a", [])
+    assert plain == verdicts(tmp_path / "b", half) and {r[4] for r in plain} == {"allow", "block"}
+
+
 def test_url_reputation_shrinks_to_its_parents(spark):
     def page(host, good, n):
         return [(f"http://{host}/p/{i}", good) for i in range(n)]
