@@ -138,10 +138,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint string")
 
 
-def in_succession(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 10_000) -> DataFrame:
-    """``(bucket, id, text, guest)``: documents dealt to range buckets of the
-    id (bucket 0 has the largest ids), and in each bucket as a guest the
-    first document that follows its last one. Runs narrow jobs on the ids."""
+def in_succession(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 10_000) -> tuple[DataFrame, int]:
+    """``(bucket, id, text, guest)`` and the number of buckets: documents
+    dealt to range buckets of the id (bucket 0 has the largest ids), and in
+    each bucket as a guest the first document that follows its last one. Runs
+    narrow jobs on the ids."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -150,16 +151,17 @@ def in_succession(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     up = range_buckets(d, "id", bounds, "bucket")  # null ids come last, after the smallest ids
     dealt = up.withColumn("bucket", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(len(bounds) - F.col("bucket")))
     # one row per bucket: its first document's (id, text digest)
+    buckets = len(bounds) + 2
     heads = dealt.groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
     if not heads:
-        return dealt.withColumn("guest", F.lit(False))
+        return dealt.withColumn("guest", F.lit(False)), buckets
     rows = [(heads[(i + 1) % len(heads)]["id"], heads[i]["bucket"]) for i in range(len(heads))]
     hosts = spark.createDataFrame(rows, "gid bigint, gbucket int")  # a row per bucket: bounded by ``n``
     guests = dealt.join(F.broadcast(hosts), F.col("id").eqNullSafe(F.col("gid")))
     # rows that repeat the head's id: the one that sorts first
     guests = guests.groupBy("gbucket", "id").agg(F.max("text").alias("text"))
     return dealt.withColumn("guest", F.lit(False)).unionByName(
-        guests.select(F.col("gbucket").alias("bucket"), "id", "text", F.lit(True).alias("guest")))
+        guests.select(F.col("gbucket").alias("bucket"), "id", "text", F.lit(True).alias("guest"))), buckets
 
 
 def successor_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -191,8 +193,9 @@ def successor_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
                         ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
                         ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    dealt = in_succession(docs, id_col, text_col)
-    laid = dealt.repartition("bucket").sortWithinPartitions(
+    dealt, buckets = in_succession(docs, id_col, text_col)
+    # a bucket is a partition: hashed, some tasks would get several of them
+    laid = dealt.repartitionById(buckets, "bucket").sortWithinPartitions(
         "bucket", "guest", F.col("id").desc_nulls_last(), F.coalesce("text", F.lit("")).desc())
     return laid.select("bucket", "id", "text", "guest").mapInArrow(
         run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "

@@ -253,16 +253,52 @@ def plain_succession(pairs):
     return [(cur, order[(i + 1) % len(order)]) for i, cur in enumerate(order)]
 
 
+def plain_signature(text, k=8, bins=64, picked=2):
+    """The docstring's signature in plain integers, one k-mer at a time."""
+    full, low = (1 << 64) - 1, (1 << 26) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    base = 0x9E3779B97F4A7C15
+    grams = [text[i:i + k] for i in range(max(len(text) - k + 1, 1))] if text else []
+    seen, items, hashes = {}, [], []
+    for at, gram in enumerate(grams):
+        h = 0
+        for c in gram:
+            h = (h * base + ord(c)) & full
+        h = mixed(h)
+        hashes.append(h)
+        number = seen.get(h & ~low, 0)  # occurrences so far
+        seen[h & ~low] = number + 1
+        items.append((mixed((h & ~low) + number * 0xD1B54A32D192ED03 & full) & ~low, at))
+    out = []
+    for b in range(bins):
+        least = sorted(x for x in items if x[0] >> 58 == b)[:picked]
+        places = sorted(at for _, at in least)
+        acc = 0
+        for at in [None] * (picked - len(places)) + places:  # missing ones first
+            acc = mixed((acc * base + (0 if at is None else hashes[at] | 1)) & full)
+        out.append(max(acc >> 32, 1) if least else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    both = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return sum(x == y for x, y in both) / len(both) if both else 1.0
+
+
 def check_succession(got, pairs):
     want = {}
     for (i, t), (_, nxt) in plain_succession(pairs):
         t, nxt = t or "", nxt or ""
         half = len(t) // 2
         e = t[:len(t) - half] + nxt[:half]
-        s, x = order_minhash.signature(order_minhash.codes_of(t)), order_minhash.signature(order_minhash.codes_of(e))
-        n = order_minhash.signature(order_minhash.codes_of(nxt))
-        want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), order_minhash.hex_of(s), order_minhash.hex_of(x),
-                   order_minhash.likeness(s, x), order_minhash.likeness(s, n))
+        s, x, n = plain_signature(t), plain_signature(e), plain_signature(nxt)
+        want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), "".join(f"{v:08x}" for v in s), "".join(f"{v:08x}" for v in x),
+                   plain_likeness(s, x), plain_likeness(s, n))
     assert {r.doc_id: tuple(r)[1:] for r in got} == want
 
 
