@@ -107,12 +107,22 @@ def q_csv_append(spark, sf):
     return C.read_csv(spark, path, METRICS_SCHEMA)
 
 
+#: Scan partitions in a file of the split scan.
+FILE_PARTS = 4
+
+
+def few_files(df):
+    """``df`` in one partition for every ``FILE_PARTS`` that it has."""
+    return df.coalesce(max(1, df.rdd.getNumPartitions() // FILE_PARTS))
+
+
 @register("csv_split_scan", CLEAN_REVIEWS_SQL)
 def q_csv_split_scan(spark, sf):
-    """One CSV file of the cleaned reviews, line ends and quotes in the texts,
-    read by as many tasks as it has byte ranges."""
+    """CSV files of the cleaned reviews, line ends and quotes in the texts, each
+    read by as many tasks as it has byte ranges. A file holds a few scan
+    partitions, so that no task that writes one grows with the table."""
     path = C.scratch_path(spark, "split")
-    C.write_csv(q_clean_reviews(spark, sf).coalesce(1), path)
+    C.write_csv(few_files(q_clean_reviews(spark, sf)), path)
     rows, _ = CS.scan(spark, path, CLEAN_SCHEMA)
     return rows.drop("file", "start", "place")
 
