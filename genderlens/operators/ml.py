@@ -158,13 +158,15 @@ def search_params(spark: SparkSession, train: DataFrame, n_trials: int = 10, see
     not depend on how the rows are laid out."""
     data = train.filter(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
     data = sized(split(data, id_col, 0.3, seed))
-    fitted, held = data.where("split = 'train'"), data.where("split = 'test'")
     pipe = sentiment_pipeline()
-    lr, tf = pipe.getStages()[3], pipe.getStages()[1]
+    tok, tf, idf, lr = pipe.getStages()
+    data = sized(tok.transform(data).select("tokens", "label", "split"))  # cut once for all trials
+    fitted, held = data.where("split = 'train'"), data.where("split = 'test'")
+    trial = Pipeline(stages=[tf, idf, lr])
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="logLoss")
     rows = []
     for i, m in enumerate(random_param_maps(pipe, n_trials, seed)):
-        loss = ev.evaluate(pipe.fit(fitted, m).transform(held))
+        loss = ev.evaluate(trial.fit(fitted, m).transform(held))
         rows.append((i, float(m[lr.regParam]), int(m[tf.numFeatures]), int(m[lr.maxIter]), float(loss)))
     return spark.createDataFrame(rows, "trial int, regParam double, numFeatures int, maxIter int, "
                                        "best_val_loss double")
