@@ -12,6 +12,7 @@ from ..sources.tables import read_table
 from .clean_queries import CLEAN_REVIEWS_SQL, q_clean_reviews
 from ..operators import analytics as P
 from ..operators import bias as B
+from ..operators.joins import known_bytes
 from .metric_queries import BIAS_SUMMARY_SQL, BINARY_SQL, TRAINING_STATS_SQL, binary_metrics_df, q_training_stats
 from .registry import register
 
@@ -107,22 +108,22 @@ def q_csv_append(spark, sf):
     return C.read_csv(spark, path, METRICS_SCHEMA)
 
 
-#: Scan partitions in a file of the split scan.
-FILE_PARTS = 4
+#: Bytes of the input table for each file of the split scan: about two byte ranges of CSV.
+FILE_BYTES = 128 << 20
 
 
-def few_files(df):
-    """``df`` in one partition for every ``FILE_PARTS`` that it has."""
-    return df.coalesce(max(1, df.rdd.getNumPartitions() // FILE_PARTS))
+def file_count(n_bytes):
+    return max(1, -(-n_bytes // FILE_BYTES))
 
 
 @register("csv_split_scan", CLEAN_REVIEWS_SQL)
 def q_csv_split_scan(spark, sf):
     """CSV files of the cleaned reviews, line ends and quotes in the texts, each
-    read by as many tasks as it has byte ranges. A file holds a few scan
-    partitions, so that no task that writes one grows with the table."""
+    read by as many tasks as it has byte ranges. The number of files follows the
+    table's bytes, so that no task that writes one grows with the table."""
     path = C.scratch_path(spark, "split")
-    C.write_csv(few_files(q_clean_reviews(spark, sf)), path)
+    n = file_count(known_bytes(read_table(spark, sf, "documents")))
+    C.write_csv(q_clean_reviews(spark, sf).coalesce(n), path)
     rows, _ = CS.scan(spark, path, CLEAN_SCHEMA)
     return rows.drop("file", "start", "place")
 
