@@ -43,3 +43,14 @@ def join_hot(pairs: DataFrame, table: DataFrame, key: str, top: DataFrame | Call
     top = F.broadcast(top() if callable(top) else top)
     hot = F.broadcast(table.join(top, key, "left_semi"))
     return pairs.join(top, key, "left_semi").join(hot, key, how).unionByName(pairs.join(top, key, "left_anti").join(table, key, how))
+
+
+def join_known(pairs: DataFrame, hot: DataFrame, tail: DataFrame | None, key: str, how: str = "inner") -> DataFrame:
+    """``pairs`` joined (inner or left) with a table that is given as its ``hot``
+    rows, whose number has a static bound, and its ``tail`` (None: there is
+    none). The hot rows are broadcast, and only pairs of other keys are
+    shuffled."""
+    known = pairs.join(F.broadcast(hot), key, how if tail is None else "inner")
+    if tail is None:
+        return known
+    return known.unionByName(pairs.join(F.broadcast(hot.select(key)), key, "left_anti").join(tail, key, how))
