@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import hash_uniform
 from ..functions.text import ws_words
-from ..session import sized
-from .joins import HEAD, join_hot
+from ..session import BROADCAST_KNOWN_ROWS, sized
+from .joins import join_known
 from .ranking import rank_by_order
 
+#: Words of a vocabulary that are broadcast with their ids.
+HOT = BROADCAST_KNOWN_ROWS
+
 
 def _u(id_col: str, tag, seed: int) -> Column:
     return hash_uniform(F.col(id_col).cast("string"), tag if isinstance(tag, Column) else F.lit(str(tag)),
@@ -79,12 +82,17 @@ def augment(df: DataFrame, paraphrases: DataFrame | None, id_col: str = "ID", te
             .select(id_col, F.col("a.kind").alias("kind"), F.col("a.text").alias("text"), label))
 
 
+def _words(docs: DataFrame, text: str) -> Column:
+    """The words of a text column, or of one that holds them already."""
+    return F.col(text) if docs.schema[text].dataType.typeName() == "array" else ws_words(text)
+
+
 def vocabulary_ids(docs: DataFrame, text: str, first_id: int = 4) -> DataFrame:
-    """(word, id): words ranked by corpus frequency (desc), then word; ids
-    start after the special tokens. Runs jobs: the words are counted once and
+    """(word, id): the words of ``text`` (which may be an array of words) ranked
+    by corpus frequency (desc), then word; ids start after the special tokens. Runs jobs: the words are counted once and
     written; the counted vocabulary is range-partitioned by its order, so the
     long tail of equally rare words is spread like the rest."""
-    counts = sized(docs.select(F.explode(ws_words(text)).alias("word"))
+    counts = sized(docs.select(F.explode(_words(docs, text)).alias("word"))
                    .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
     ranked = rank_by_order(counts, [F.col("cnt").desc(), F.col("word")], "r")
     return ranked.select("word", (F.col("r") + first_id).cast("int").alias("id"))
@@ -93,15 +101,15 @@ def vocabulary_ids(docs: DataFrame, text: str, first_id: int = 4) -> DataFrame:
 def encode(docs: DataFrame, vocab_ids: DataFrame, id_col: str, text: str, length: int = 16,
            cls_id: int = 2, sep_id: int = 3, unk_id: int = 1, first_id: int = 4) -> DataFrame:
     """Q10: [CLS] + ids of the first length-2 words + [SEP], zero-padded to
-    ``length``, with a 1/0 attention mask. Only the words that fit are
-    exploded and joined, so the shuffle is bounded by docs x length. The
-    vocabulary is written once, and the planner broadcasts it if its files are
-    small enough; beyond that its most frequent words (the lowest ids, a fixed
-    number) are broadcast and the others shuffled."""
+    ``length``, with a 1/0 attention mask; ``text`` may be an array of words. Only
+    the words that fit are exploded and joined, so the shuffle is bounded by
+    docs x length. The vocabulary is written once; its most frequent words
+    (those with ids below ``first_id + HOT``) are broadcast and meet the words
+    where they are, and only the rarer words are shuffled."""
     vocab = sized(vocab_ids)
-    head = docs.select(id_col, F.posexplode(F.slice(ws_words(text), 1, length - 2)).alias("p", "word"))
-    top = vocab.where(F.col("id") < first_id + HEAD).select("word")
-    j = join_hot(head, vocab, "word", top, "left").select(
+    head = docs.select(id_col, F.posexplode(F.slice(_words(docs, text), 1, length - 2)).alias("p", "word"))
+    hot, tail = vocab.where(F.col("id") < first_id + HOT), vocab.where(F.col("id") >= first_id + HOT)
+    j = join_known(head, hot, None if tail.isEmpty() else tail, "word", "left").select(
         id_col, "p", F.coalesce(F.col("id"), F.lit(unk_id)).alias("id"))
     ids = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("s"))
     allids = docs.select(id_col).join(ids, id_col, "left").select(

@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import label_encode, sentiment
-from ..functions.text import clean_text
+from ..functions.text import clean_text, ws_words
 from ..operators import augment as A
 from ..operators import splits as S
 from ..operators.clean import drop_neutral
+from ..session import sized
 from ..sources import fixtures as fx
 from .clean_queries import SENT_SQL, clean_text_sql
 from .registry import register
@@ -204,8 +205,8 @@ SELECT ID AS doc_id,
        array_to_string(list_resize(list_transform(body, lambda x: 1), {ENCODE_LEN}, 0), ' ') AS attention_mask
 FROM body""")
 def q_encode(spark, sf):
-    d = cleaned_docs(spark, sf)
-    v = A.vocabulary_ids(d, "text")
-    e = A.encode(d, v, "doc_id", "text", ENCODE_LEN)
+    d = sized(cleaned_docs(spark, sf).select("doc_id", ws_words("text").alias("words")))  # cut once, read by both steps
+    v = A.vocabulary_ids(d, "words")
+    e = A.encode(d, v, "doc_id", "words", ENCODE_LEN)
     return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
                     F.array_join("attention_mask", " ").alias("attention_mask"))
